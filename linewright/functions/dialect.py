@@ -3,6 +3,9 @@
 Python patterns are Unicode-aware by default, Java's are not, and a few escapes differ.
 Two forms exist: the full one, and a faster one for text known to be ASCII, where Java's
 own `\\w`, `\\d` and `\\b` already agree with Python's.
+
+The engines also differ in where they look next after matching the empty text, so a rule
+should match at least one character; rules that do agree everywhere.
 """
 
 from __future__ import annotations
@@ -16,6 +19,10 @@ SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 _BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _NO_BOUNDARY = f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
 
+# Java steps and looks behind by code point only if a pattern contains a character beyond
+# the BMP. This ending contains one and always matches the empty text first.
+_BY_CODE_POINT = "(?:|\U00010000)"
+
 # escape -> (outside a class, inside a class)
 _UNICODE = {
     "w": (f"[{WORD}]", WORD),
@@ -103,7 +110,7 @@ def to_java(pattern: str, ascii_text: bool = False) -> str:
             continue
         elif token["repeat"] is not None:
             low, comma, high = token["repeat"].partition(",")
-            if not low and not high:
+            if not token["repeat"]:
                 out.append(text.replace("{", r"\{"))
             else:
                 out.append(f"{{{low or '0'}{comma}{high}}}")
@@ -112,6 +119,8 @@ def to_java(pattern: str, ascii_text: bool = False) -> str:
         else:
             out.append(text)
     java = "".join(out)
+    if not ascii_text:
+        java += _BY_CODE_POINT
     # Only \n ends a line for Python's . ^ $
     return "(?d)" + java if re.search(r"[.^$]", pattern) else java
 

@@ -6,7 +6,8 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, functions as F
 
-from .dialect import WORD, to_java
+from .dialect import to_java
+from .text import is_ascii
 
 # The accepted leading timestamps, severity words, component and file-name
 # shapes, and month names.
@@ -55,8 +56,9 @@ def timestamp(text: Column, reference_year: int | None = None, on_bad: str = "nu
 
 def severity(text: Column) -> Column:
     """First severity word standing alone, case-sensitive."""
-    pattern = rf"(?<![{WORD}])({'|'.join(SEVERITIES)})(?![{WORD}])"
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    pattern = rf"\b({'|'.join(SEVERITIES)})\b"
+    fast, full = (F.regexp_extract(text, to_java(pattern, ascii_text), 1) for ascii_text in (True, False))
+    return F.nullif(F.when(is_ascii(text), fast).otherwise(full), F.lit(""))
 
 
 def component(text: Column) -> Column:

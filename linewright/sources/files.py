@@ -46,7 +46,8 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     if listing is None:
         return spark.createDataFrame([], "file_path string, bytes bigint")
     return listing.select(
-        given_path(spark, F.col("path"), root).alias("file_path"), F.col("length").alias("bytes")
+        given_path(spark, F.col("_metadata.file_path"), root).alias("file_path"),
+        F.col("length").alias("bytes"),
     )
 
 
