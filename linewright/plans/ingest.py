@@ -53,4 +53,4 @@ def ingest(
     table.create()
     records = files.load_records(spark, root, job_id, id_mode=id_mode, **parse_options)
     written = store_records(table, normalized_records(records, rules), job_id, id_mode)
-    return IngestSummary(files.discover(spark, root).count(), written, written, table_path)
+    return IngestSummary(len(files.discover(spark, root)), written, written, table_path)

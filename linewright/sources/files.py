@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,15 +42,19 @@ def relative_path(spark: SparkSession, uri: Column, root: str) -> Column:
     return F.substring(decoded, len(absolute) + 2, 2**31 - 1)
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Log files below `root` (or `root` itself) as (file_path, bytes), empty files included."""
-    listing = _load_or_none(spark, "binaryFile", root)
+def discover(spark: SparkSession, root: str) -> list[str]:
+    """Log files below `root` (or `root` itself), ordered by path components.
+
+    This is the listing Spark makes for any scan and keeps on the driver; unlike a scan it
+    includes empty files.
+    """
+    listing = _load_or_none(spark, "text", root)
     if listing is None:
-        return spark.createDataFrame([], "file_path string, bytes bigint")
-    return listing.select(
-        given_path(spark, F.col("_metadata.file_path"), root).alias("file_path"),
-        F.col("length").alias("bytes"),
-    )
+        return []
+    absolute = hadoop.absolute_path(spark, root).rstrip("/")
+    below = [unquote(urlsplit(uri).path)[len(absolute) + 1 :] for uri in listing.inputFiles()]
+    ordered = sorted(below, key=lambda path: path.split("/"))
+    return [f"{root.rstrip('/')}/{path}" if path else root for path in ordered]
 
 
 def scan_lines(spark: SparkSession, root: str) -> DataFrame:
