@@ -63,25 +63,25 @@ def with_counts(
 ) -> DataFrame:
     """Add `normalized_text`, `changed` and one hit-count column per enabled rule."""
     rules = active(rules)
-    out = df.withColumn("_fast", _fast_rows(F.col(text), rules)).withColumn("normalized_text", F.col(text))
+    kept = [F.col(c) for c in df.columns if c != "normalized_text"]
+    out = df.select(*kept, _fast_rows(F.col(text), rules).alias("_fast"), F.col(text).alias("normalized_text"))
+    fast = F.col("_fast")
     for position, rule in enumerate(rules):
         before = F.col("normalized_text")
-        out = out.withColumn(
-            "_marked",
-            F.when(F.col("_fast"), _substitute(before, rule, True, _MARK)).otherwise(
-                _substitute(before, rule, False)
-            ),
+        marked = F.when(fast, _substitute(before, rule, True, _MARK)).otherwise(
+            _substitute(before, rule, False)
         )
-        clean = F.replace("_marked", F.lit(_MARK), F.lit(""))
-        out = out.select(
-            *[c for c in out.columns if c not in ("normalized_text", "_marked")],
-            F.when(F.col("_fast"), clean).otherwise(F.col("_marked")).alias("normalized_text"),
-            F.when(
-                F.col("_fast"),
-                ((F.octet_length("_marked") - F.octet_length(clean)) / _MARK_BYTES).cast("int"),
-            )
-            .otherwise(F.regexp_count(before, F.lit(to_java(rule.pattern))))
-            .alias(count_column(position)),
+        clean = F.when(fast, F.replace("_marked", F.lit(_MARK), F.lit(""))).otherwise(F.col("_marked"))
+        removed = F.octet_length("_marked") - F.octet_length("_clean")
+        hits = F.when(fast, (removed / _MARK_BYTES).cast("int")).otherwise(
+            F.regexp_count(before, F.lit(to_java(rule.pattern)))
+        )
+        out = (
+            out.withColumn("_marked", marked)
+            .withColumn("_clean", clean)
+            .withColumn(count_column(position), hits)
+            .drop("normalized_text", "_marked")
+            .withColumnRenamed("_clean", "normalized_text")
         )
     return out.withColumn("changed", F.col("normalized_text") != F.col(text)).drop("_fast")
 

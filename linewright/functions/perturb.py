@@ -8,30 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .dialect import to_java
 from .rules import rule_named
 from .text import is_ascii
 
-# Token ranges, unit of last resort, identifier alphabet and length.
+# Token ranges, unit of last resort and identifier length.
 OCTET_LOW, OCTET_HIGH = 1, 254
 DURATION_LOW, DURATION_HIGH = 5, 5000
 DEFAULT_UNIT = "ms"
-ID_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 ID_LENGTH = 16
 UUID_GROUPS = (8, 4, 4, 4, 12)
 DEFAULT_SEED = 7
 
 
-def _number(digest: Column, start: int, width: int) -> Column:
-    """The `width` hex digits from position `start` (0-based) as a number."""
-    return F.conv(F.substring(digest, start + 1, width), 16, 10).cast("bigint")
+_NUMBER_DIGITS = 15  # hex digits that fit a positive 64-bit integer
+
+
+def _number(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, _NUMBER_DIGITS), 16, 10).cast("bigint")
 
 
 def random_ip(digest: Column, _found: Column) -> Column:
     span = OCTET_HIGH - OCTET_LOW + 1
-    return F.concat_ws(".", *[(_number(digest, 8 * i, 8) % span + OCTET_LOW).cast("string") for i in range(4)])
+    # Each octet from its own bits of one number.
+    octets = [F.shiftright(_number(digest), 12 * i) % span + OCTET_LOW for i in range(4)]
+    return F.concat_ws(".", *[octet.cast("string") for octet in octets])
 
 
 def random_uuid(digest: Column, _found: Column) -> Column:
@@ -43,12 +46,11 @@ def random_duration(digest: Column, found: Column) -> Column:
     span = DURATION_HIGH - DURATION_LOW + 1
     letters = F.regexp_replace(found, "[^A-Za-z]", "")
     unit = F.when(letters == "", F.lit(DEFAULT_UNIT)).otherwise(letters)
-    return F.concat_ws(" ", (_number(digest, 0, 8) % span + DURATION_LOW).cast("string"), unit)
+    return F.concat_ws(" ", (_number(digest) % span + DURATION_LOW).cast("string"), unit)
 
 
 def random_long_id(digest: Column, _found: Column) -> Column:
-    picks = [_number(digest, 4 * i, 4) % len(ID_ALPHABET) + 1 for i in range(ID_LENGTH)]
-    return F.concat(*[F.substring(F.lit(ID_ALPHABET), pick.cast("int"), F.lit(1)) for pick in picks])
+    return F.substring(digest, 1, ID_LENGTH)
 
 
 # Token classes in the order they are replaced; each is found by the rule of that name.
@@ -60,27 +62,37 @@ STEPS: tuple[tuple[str, Callable[[Column, Column], Column]], ...] = (
 )
 
 
-def _replace_each(text: Column, java: str, key: Column, step: str, token) -> Column:
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    parts = F.split(text, java, -1)
-    fresh = F.transform(
-        found, lambda match, i: token(F.sha2(F.concat_ws("|", key, F.lit(step), i.cast("string")), 256), match)
-    )
-    tail = F.zip_with(fresh, F.slice(parts, F.lit(2), F.size(parts)), lambda new, rest: F.concat(new, rest))
-    return F.when(F.size(found) == 0, text).otherwise(
-        F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
-    )
+def _fresh(step: str, token: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    def make(match: Column, position: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.col("_key"), F.lit(step), position.cast("string")), 256)
+        return token(digest, match)
+
+    return make
 
 
-def perturb(df, text: str = "raw_text", index: str = "index", seed: int = DEFAULT_SEED):
-    """Replace `text` in place; each token class is one projection over the one before."""
+def perturb(df: DataFrame, text: str = "raw_text", index: str = "index", seed: int = DEFAULT_SEED) -> DataFrame:
+    """Replace `text` in place, one token class after the other.
+
+    A line is taken apart at the tokens found and put together with new ones.
+    """
     key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(index).cast("string"), F.col(text)), 256)
     out = df.withColumn("_key", key)
     for step, token in STEPS:
         pattern = rule_named(step).pattern
-        fast, full = (
-            _replace_each(F.col(text), to_java(pattern, ascii_text), F.col("_key"), step, token)
-            for ascii_text in (True, False)
+        fast, full = to_java(pattern, True), to_java(pattern)
+        ascii_row, current = is_ascii(F.col(text)), F.col(text)
+        found = F.when(ascii_row, F.regexp_extract_all(current, F.lit(fast), F.lit(0))).otherwise(
+            F.regexp_extract_all(current, F.lit(full), F.lit(0))
+        )
+        parts = F.when(ascii_row, F.split(current, fast, -1)).otherwise(F.split(current, full, -1))
+        tail = F.zip_with(
+            F.transform("_found", _fresh(step, token)),
+            F.slice("_parts", F.lit(2), F.size("_parts")),
+            lambda new, rest: F.concat(new, rest),
+        )
+        out = (
+            out.withColumn("_found", found)
+            .withColumn("_parts", parts)
+            .withColumn(text, F.concat(F.element_at("_parts", 1), F.array_join(tail, "")))
         )
-        out = out.withColumn(text, F.when(is_ascii(F.col(text)), fast).otherwise(full))
-    return out.drop("_key")
+    return out.drop("_key", "_found", "_parts")

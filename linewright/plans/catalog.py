@@ -51,6 +51,13 @@ def _templated(spark: SparkSession, d: str) -> DataFrame:
     return stage(grouping.with_templates(normalized), "templated")
 
 
+def _method_lines(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Labelled event lines with the template column of one method; staged."""
+    normalized = corpus.labelled_events(spark, d).withColumn("normalized_text", normalize(F.col("raw_text")))
+    template = grouping.METHODS[name](F.col("normalized_text"))
+    return stage(normalized.select("index", template.alias(name)), "templated")
+
+
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
     return stage(grouping.predict_all(_templated(spark, d)), "predicted")
 
@@ -61,7 +68,7 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 def _one_method(name: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        predicted = grouping.predict(_templated(spark, d), name)
+        predicted = grouping.predict(_method_lines(spark, d, name), name)
         return predicted.select("index", "predicted_group_id", "predicted_template")
 
     return query
@@ -220,7 +227,7 @@ def join_labels_file_line(spark: SparkSession, d: str) -> DataFrame:
 
 def join_predicted(spark: SparkSession, d: str) -> DataFrame:
     lines = corpus.labelled_events(spark, d)
-    predictions = grouping.predict(_templated(spark, d), "token_pattern").select(
+    predictions = grouping.predict(_method_lines(spark, d, "token_pattern"), "token_pattern").select(
         "index", "predicted_group_id", "predicted_template"
     )
     return join_predictions(lines, predictions)
@@ -280,7 +287,7 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """Store all event records, then again those of errors with normalized text."""
     table = RecordTable(spark, new_path(spark, "records"))
     table.create()
-    records = _records(spark, d)
+    records = stage(_records(spark, d), "records")
     table.upsert(records.withColumn("normalized_text", F.lit(None).cast("string")), unique_ids=True)
     table.upsert(normalized_records(records.where("severity = 'ERROR'")))
     return table.read().select("id", "severity", "raw_text", "normalized_text")

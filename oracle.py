@@ -191,16 +191,11 @@ dx as (select *, trim(value, {_SPACES}) as raw_text from docs where trim(value,
 
 def _perturb() -> str:
     """Rebuild each line from its parts and digest-made tokens, one token class at a time."""
-    number = "cast('0x' || d[{a}:{b}] as bigint)"
-
-    def hexed(start: int, width: int) -> str:
-        return number.format(a=start + 1, b=start + width)
-
-    ip = " || '.' || ".join(f"({hexed(8 * i, 8)} % 254 + 1)" for i in range(4))
+    number = "cast('0x' || d[1:15] as bigint)"
+    ip = " || '.' || ".join(f"(({number} >> {12 * i}) % 254 + 1)" for i in range(4))
     uuid = "d[1:8] || '-' || d[9:12] || '-' || d[13:16] || '-' || d[17:20] || '-' || d[21:32]"
-    duration = f"({hexed(0, 8)} % 4996 + 5) || ' ' || regexp_replace(f, '[^A-Za-z]', '', 'g')"
-    letters = "'abcdefghijklmnopqrstuvwxyz0123456789'"
-    long_id = " || ".join(f"substr({letters}, {hexed(4 * i, 4)} % 36 + 1, 1)" for i in range(16))
+    duration = f"({number} % 4996 + 5) || ' ' || regexp_replace(f, '[^A-Za-z]', '', 'g')"
+    long_id = "d[1:16]"
     steps = []
     previous, column = "keyed", "raw_text"
     for n, (name, (pattern, _), token) in enumerate(
