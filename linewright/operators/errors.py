@@ -32,17 +32,20 @@ def failure_patterns(cells: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def false_splits(predicted: DataFrame, k: int = 5) -> DataFrame:
-    """First k pairs (by left, then right index) with one label but different groups."""
-    return _first_pairs(predicted, "expected_group_id", "predicted_group_id", k)
+def false_splits(predicted: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
+    """First k pairs (by left, then right index) with one label but different groups.
+
+    `cells` is the contingency table of the same lines; it is read twice.
+    """
+    return _first_pairs(predicted, cells, "expected_group_id", "predicted_group_id", k)
 
 
-def false_merges(predicted: DataFrame, k: int = 5) -> DataFrame:
+def false_merges(predicted: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
     """First k pairs (by left, then right index) with different labels but one group."""
-    return _first_pairs(predicted, "predicted_group_id", "expected_group_id", k)
+    return _first_pairs(predicted, cells, "predicted_group_id", "expected_group_id", k)
 
 
-def _first_pairs(predicted: DataFrame, same: str, differing: str, k: int) -> DataFrame:
+def _first_pairs(predicted: DataFrame, cells: DataFrame, same: str, differing: str, k: int) -> DataFrame:
     """First k pairs i < j that agree on `same` and differ on `differing`.
 
     Split each `same` group into cells by `differing`, and let S be the second largest of
@@ -51,18 +54,21 @@ def _first_pairs(predicted: DataFrame, same: str, differing: str, k: int) -> Dat
     in the k groups that start first, so two broadcasts of k rows find all answers and no
     line is shuffled.
     """
-    lines = predicted.where(F.col("expected_group_id").isNotNull())
-    cells = lines.groupBy(same, differing).agg(
-        F.min("index").alias("first"), F.max("index").alias("last")
+    labelled = F.col("expected_group_id").isNotNull()
+    extents = (
+        cells.where(labelled)
+        .groupBy(same, differing)
+        .agg(F.min("first_index").alias("first"), F.max("last_index").alias("last"))
     )
     by_last = Window.partitionBy(same).orderBy(F.desc("last"))
     limits = (
-        cells.select(same, "last", F.row_number().over(by_last).alias("place"))
+        extents.select(same, "last", F.row_number().over(by_last).alias("place"))
         .where("place = 2")
         .select(same, F.col("last").alias("limit"))
     )
-    starts = cells.groupBy(same).agg(F.min("first").alias("start"))
+    starts = extents.groupBy(same).agg(F.min("first").alias("start"))
     groups = starts.join(limits, same).orderBy("start").limit(k).select(same, "limit")
+    lines = predicted.where(labelled)
     left = (
         lines.join(F.broadcast(groups), same)
         .where(F.col("index") <= F.col("limit"))

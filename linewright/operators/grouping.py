@@ -33,8 +33,8 @@ def group_name(rank: Column) -> Column:
 
 
 def numbered_groups(lines: DataFrame, template: str = "template", index: str = "index") -> DataFrame:
-    """One row per template with its size, first index and group id."""
-    ranked = rank_by_first_index(template_counts(lines, template, index))
+    """One row per template with its size, first index and group id; one pass over the lines."""
+    ranked = rank_by_first_index(stage(template_counts(lines, template, index), "templates"))
     return ranked.withColumn("predicted_group_id", group_name(F.col("rank"))).drop("rank")
 
 

@@ -47,10 +47,17 @@ def changed_examples(lines: DataFrame, k: int = 5) -> DataFrame:
 
 
 def contingency(predicted: DataFrame) -> DataFrame:
-    """Line counts per method, labels and prediction: the one pass over lines all scores need."""
+    """Line counts and first and last index per method, labels and prediction.
+
+    This one pass over the lines is all that the scores need.
+    """
     return predicted.groupBy(
         "method", "expected_group_id", "expected_template", "predicted_group_id", "predicted_template"
-    ).agg(F.count("*").alias("n"), F.min("index").alias("first_index"))
+    ).agg(
+        F.count("*").alias("n"),
+        F.min("index").alias("first_index"),
+        F.max("index").alias("last_index"),
+    )
 
 
 def _when_any(count: Column, value: Column) -> Column:

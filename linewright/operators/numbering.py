@@ -11,7 +11,7 @@ from ..staging import stage
 # monotonically_increasing_id() puts the partition above this many low bits.
 _POSITION_BITS = 33
 # Ranks are taken within buckets of this many consecutive first indexes.
-_BUCKET_BITS = 20
+_BUCKET_BITS = 18
 
 
 def _before(window) -> Column:
@@ -69,10 +69,10 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> Dat
 
 
 def rank_by_first_index(keys: DataFrame, first: str = "first_index", name: str = "rank") -> DataFrame:
-    """Rank distinct keys 1..n by a unique, non-negative integer column.
+    """Rank distinct keys 1..n by a unique, non-negative integer column; `keys` is read twice.
 
-    Buckets of consecutive integers hold a bounded number of keys, so each is ranked in one
-    task; the table of bucket sizes has at most max(first) / 2**20 rows.
+    A bucket of consecutive integers holds at most 2**18 keys, so each is ranked in one
+    task; the table of bucket sizes has at most max(first) / 2**18 rows of two numbers.
     """
     bucketed = keys.withColumn("_bucket", F.shiftright(first, _BUCKET_BITS))
     sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("n"))

@@ -255,19 +255,23 @@ def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def template_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_method(_predicted(spark, d), errors.template_mismatches)
+    return evaluate.per_method(errors.template_mismatches, _predicted(spark, d))
 
 
 def false_splits(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_method(_predicted(spark, d), errors.false_splits)
+    predicted = _predicted(spark, d)
+    cells = stage(metrics.contingency(predicted), "cells")
+    return evaluate.per_method(errors.false_splits, predicted, cells)
 
 
 def false_merges(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_method(_predicted(spark, d), errors.false_merges)
+    predicted = _predicted(spark, d)
+    cells = stage(metrics.contingency(predicted), "cells")
+    return evaluate.per_method(errors.false_merges, predicted, cells)
 
 
 def failure_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_method(stage(_cells(spark, d), "cells"), errors.failure_patterns)
+    return evaluate.per_method(errors.failure_patterns, stage(_cells(spark, d), "cells"))
 
 
 def perturb_events(spark: SparkSession, d: str) -> DataFrame:

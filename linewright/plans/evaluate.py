@@ -55,11 +55,12 @@ def normalized_lines(
     return with_counts(perturb(lines, seed=seed) if perturbed else lines, rules=rules)
 
 
-def per_method(predicted: DataFrame, analysis: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run an analysis of one method's rows for each method of the fixed list."""
+def per_method(analysis: Callable[..., DataFrame], *frames: DataFrame) -> DataFrame:
+    """Run an analysis on one method's rows at a time, for each method of the fixed list."""
     result = None
     for method in METHODS:
-        rows = analysis(predicted.where(F.col("method") == method)).select(F.lit(method).alias("method"), "*")
+        own = [frame.where(F.col("method") == method) for frame in frames]
+        rows = analysis(*own).select(F.lit(method).alias("method"), "*")
         result = rows if result is None else result.unionByName(rows)
     return result
 
@@ -97,10 +98,10 @@ def score(
     tables = {
         "rule_counts": metrics.replacement_counts(lines, rules),
         "changed_examples": metrics.changed_examples(lines, k),
-        "template_mismatches": per_method(predicted, lambda p: errors.template_mismatches(p, k)),
-        "false_splits": per_method(predicted, lambda p: errors.false_splits(p, k)),
-        "false_merges": per_method(predicted, lambda p: errors.false_merges(p, k)),
-        "failure_patterns": per_method(cells, lambda c: errors.failure_patterns(c, k)),
+        "template_mismatches": per_method(lambda p: errors.template_mismatches(p, k), predicted),
+        "false_splits": per_method(lambda p, c: errors.false_splits(p, c, k), predicted, cells),
+        "false_merges": per_method(lambda p, c: errors.false_merges(p, c, k), predicted, cells),
+        "failure_patterns": per_method(lambda c: errors.failure_patterns(c, k), cells),
         "predictions": predicted.select("method", "index", "predicted_group_id", "predicted_template"),
     }
     return summarize(lines, cells), tables

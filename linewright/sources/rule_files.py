@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from ..functions.dialect import to_java, to_java_replacement
 from ..functions.rules import Rule
 
@@ -28,12 +30,16 @@ def rules_from(entries: Iterable[Mapping[str, Any]]) -> list[Rule]:
     return rules
 
 
-def load_rules(path: str) -> list[Rule]:
-    """Read a `{rules: [...]}` document; the rules become literals of the query plan."""
-    with open(path, encoding="utf-8") as handle:
-        content = handle.read()
-    if yaml is not None:
-        document = yaml.safe_load(content)
+def load_rules(path: str, spark: SparkSession | None = None) -> list[Rule]:
+    """Read a `{rules: [...]}` document; the rules become literals of the query plan.
+
+    With a session the file may be on any file system Spark reads.
+    """
+    if spark is None:
+        with open(path, encoding="utf-8") as handle:
+            content = handle.read()
     else:
-        document = json.loads(content)
+        row = spark.read.text(path, wholetext=True).first()
+        content = row["value"] if row else ""
+    document = yaml.safe_load(content) if yaml is not None else json.loads(content)
     return rules_from((document or {}).get("rules", []))

@@ -91,15 +91,15 @@ def brute_pairs(rows, k, same, differ, shown):
 def test_first_pairs(spark, seed, labels, cells, k):
     rows = random_rows(seed, 50, labels, cells)
     df = predicted(spark, rows)
-    assert [tuple(r) for r in errors.false_splits(df, k).collect()] == brute_pairs(rows, k, 3, 5, 3)
-    assert [tuple(r) for r in errors.false_merges(df, k).collect()] == brute_pairs(rows, k, 5, 3, 5)
+    assert [tuple(r) for r in errors.false_splits(df, metrics.contingency(df), k).collect()] == brute_pairs(rows, k, 3, 5, 3)
+    assert [tuple(r) for r in errors.false_merges(df, metrics.contingency(df), k).collect()] == brute_pairs(rows, k, 5, 3, 5)
 
 
 def test_first_pairs_at_the_end_of_a_group(spark):
     # the last cell goes on alone; only lines up to the other cells' end have partners
     rows = [("m", i, str(i), "e", None, g, g) for i, g in enumerate("aababbb", 1)]
     df = predicted(spark, rows)
-    assert [tuple(r)[:2] for r in errors.false_splits(df, 100).collect()] == [p[:2] for p in brute_pairs(rows, 100, 3, 5, 3)]
+    assert [tuple(r)[:2] for r in errors.false_splits(df, metrics.contingency(df), 100).collect()] == [p[:2] for p in brute_pairs(rows, 100, 3, 5, 3)]
 
 
 @pytest.mark.parametrize("k", [0, 2, 50])

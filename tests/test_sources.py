@@ -136,7 +136,7 @@ def test_modes(spark, tmp_path):
         datasets.load_labelled(spark, root, mode="other")
 
 
-def test_rule_files(tmp_path):
+def test_rule_files(spark, tmp_path):
     document = {"rules": [
         {"name": "a", "enabled": True, "pattern": "\\bx\\b", "replacement": "<X>"}, {"name": "b", "enabled": False, "pattern": "y", "replacement": ""},
         {"name": "c", "pattern": "z", "replacement": "<Z>"},
@@ -144,6 +144,7 @@ def test_rule_files(tmp_path):
     root = write_files(tmp_path, {"rules.json": json.dumps(document), "none.json": "{}"})
     expected = [Rule("a", r"\bx\b", "<X>"), Rule("c", "z", "<Z>")]
     assert load_rules(f"{root}/rules.json") == expected
+    assert load_rules(f"{root}/rules.json", spark) == expected
     assert load_rules(f"{root}/none.json") == []
     pytest.importorskip("yaml")
     write_files(tmp_path, {"rules.yaml": 'rules:\n  - name: a\n    pattern: "\\\\bx\\\\b"\n    replacement: "<X>"\n  - {name: c, pattern: z, replacement: <Z>}\n', "empty.yaml": ""})
