@@ -60,6 +60,26 @@ _TOKEN = re.compile(
 )
 
 
+# Next to something that surely matches a word character, half of a boundary is enough.
+_ONE_WORD_CHAR = r"(?:\\[wd]|(?<!\\)[A-Za-z0-9_]|\[(?:\\[wd]|\w-\w|\w)+\])"
+_WORD_AHEAD = re.compile(_ONE_WORD_CHAR + r"(?![*?]|\{[0,])", re.ASCII)
+_GROUP_AHEAD = re.compile(r"\(\?:" + _ONE_WORD_CHAR + r"(?![*?]|\{[0,])[^|]*$", re.ASCII)
+_OPTIONAL_GROUP = re.compile(r"\)(?:[*?]|\{[0,])")
+_WORD_BEHIND = re.compile(
+    rf"(?:{_ONE_WORD_CHAR}(?:\+|\{{[1-9]\d*(?:,\d*)?\}})?|\((?:\?:)?(?:\w+\|)*\w+\))$", re.ASCII
+)
+
+
+def _boundary(before: str, after: str) -> str:
+    if not re.search(r"\\[xuUN0-9]", before + after):
+        group = _GROUP_AHEAD.match(after) and not _OPTIONAL_GROUP.search(after)
+        if group or _WORD_AHEAD.match(after):
+            return f"(?<![{WORD}])"
+        if _WORD_BEHIND.search(before):
+            return f"(?![{WORD}])"
+    return _BOUNDARY
+
+
 def _group_name(pattern: re.Pattern, name: str) -> str:
     return f"g{pattern.groupindex[name]}"
 
@@ -79,7 +99,10 @@ def to_java(pattern: str, ascii_text: bool = False) -> str:
         elif escape in escapes:
             if in_class and negated and escape in "WDS":
                 raise ValueError(f"negated class with \\{escape} has no safe Java form: {pattern}")
-            out.append(escapes[escape][in_class])
+            if escape == "b" and not in_class and not ascii_text:
+                out.append(_boundary(pattern[: token.start()], pattern[token.end() :]))
+            else:
+                out.append(escapes[escape][in_class])
         elif escape:
             out.append(text)
         elif in_class:

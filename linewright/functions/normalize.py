@@ -63,27 +63,25 @@ def with_counts(
 ) -> DataFrame:
     """Add `normalized_text`, `changed` and one hit-count column per enabled rule."""
     rules = active(rules)
-    kept = [F.col(c) for c in df.columns if c != "normalized_text"]
-    out = df.select(*kept, _fast_rows(F.col(text), rules).alias("_fast"), F.col(text).alias("normalized_text"))
-    fast = F.col("_fast")
+    keep = [F.col(c) for c in df.columns if c != "normalized_text"]
+    fast, current = F.col("_fast"), F.col("_current")
+    out = df.select(*keep, _fast_rows(F.col(text), rules).alias("_fast"), F.col(text).alias("_current"))
     for position, rule in enumerate(rules):
-        before = F.col("normalized_text")
-        marked = F.when(fast, _substitute(before, rule, True, _MARK)).otherwise(
-            _substitute(before, rule, False)
+        marked = F.when(fast, _substitute(current, rule, True, _MARK)).otherwise(
+            _substitute(current, rule, False)
         )
+        # Rows off the fast path are counted on the text before the substitution.
+        counted = F.when(~fast, F.regexp_count(current, F.lit(to_java(rule.pattern))))
         clean = F.when(fast, F.replace("_marked", F.lit(_MARK), F.lit(""))).otherwise(F.col("_marked"))
-        removed = F.octet_length("_marked") - F.octet_length("_clean")
-        hits = F.when(fast, (removed / _MARK_BYTES).cast("int")).otherwise(
-            F.regexp_count(before, F.lit(to_java(rule.pattern)))
+        removed = F.col("_length") - F.octet_length(current)
+        hits = F.coalesce("_counted", (removed / _MARK_BYTES).cast("int")).alias(count_column(position))
+        out = out.select(*keep, fast, marked.alias("_marked"), counted.alias("_counted"))
+        out = out.select(
+            *keep, fast, clean.alias("_current"), F.octet_length("_marked").alias("_length"), "_counted"
         )
-        out = (
-            out.withColumn("_marked", marked)
-            .withColumn("_clean", clean)
-            .withColumn(count_column(position), hits)
-            .drop("normalized_text", "_marked")
-            .withColumnRenamed("_clean", "normalized_text")
-        )
-    return out.withColumn("changed", F.col("normalized_text") != F.col(text)).drop("_fast")
+        out = out.select(*keep, hits, fast, current)
+        keep.append(F.col(count_column(position)))
+    return out.select(*keep, current.alias("normalized_text"), (current != F.col(text)).alias("changed"))
 
 
 def _count_map(rules: Sequence[Rule]) -> Column:

@@ -310,8 +310,8 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
-    summary, _ = evaluate.score(evaluate.normalized_lines(corpus.labelled_events(spark, d)))
-    return summary
+    scored = evaluate.predict_and_count(evaluate.normalized_lines(corpus.labelled_events(spark, d)))
+    return evaluate.summarize(scored.lines, scored.cells)
 
 
 QUERIES: dict[str, Query] = {

@@ -80,22 +80,33 @@ def summarize(lines: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def score(
-    lines: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, k: int = MAX_EXAMPLES
-) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(summary, other result tables) for normalized lines.
+@dataclass(frozen=True)
+class Scored:
+    """Staged inputs of the result tables: normalized lines, predictions, contingency table."""
+
+    lines: DataFrame
+    predicted: DataFrame
+    cells: DataFrame
+
+
+def predict_and_count(lines: DataFrame) -> Scored:
+    """Group normalized lines with every method.
 
     Lines and predictions are staged once each: a dozen passes over single columns follow.
     """
     lines = stage(with_templates(lines), "normalized")
-    predicted = stage(
-        predict_all(
-            lines.select("index", "raw_text", "expected_group_id", "expected_template", *METHODS)
-        ),
-        "predicted",
-    )
-    cells = stage(metrics.contingency(predicted), "cells")
-    tables = {
+    labelled = lines.select("index", "raw_text", "expected_group_id", "expected_template", *METHODS)
+    predicted = stage(predict_all(labelled), "predicted")
+    return Scored(lines, predicted, stage(metrics.contingency(predicted), "cells"))
+
+
+def result_tables(
+    scored: Scored, rules: Sequence[Rule] = DEFAULT_RULES, k: int = MAX_EXAMPLES
+) -> dict[str, DataFrame]:
+    """All result tables by name."""
+    lines, predicted, cells = scored.lines, scored.predicted, scored.cells
+    return {
+        "summary": summarize(lines, cells),
         "rule_counts": metrics.replacement_counts(lines, rules),
         "changed_examples": metrics.changed_examples(lines, k),
         "template_mismatches": per_method(lambda p: errors.template_mismatches(p, k), predicted),
@@ -104,7 +115,6 @@ def score(
         "failure_patterns": per_method(lambda c: errors.failure_patterns(c, k), cells),
         "predictions": predicted.select("method", "index", "predicted_group_id", "predicted_template"),
     }
-    return summarize(lines, cells), tables
 
 
 def evaluate(
@@ -116,8 +126,9 @@ def evaluate(
     now: datetime | None = None,
 ) -> Evaluation:
     """Normalize, group and score a labelled set with every method."""
-    summary, tables = score(normalized_lines(dataset.records, rules, perturbed, seed), rules, k)
-    described = summary.select(
+    lines = normalized_lines(dataset.records, rules, perturbed, seed)
+    tables = result_tables(predict_and_count(lines), rules, k)
+    tables["summary"] = tables["summary"].select(
         F.lit(dataset.name).alias("dataset"),
         F.lit(dataset.kind).alias("kind"),
         F.lit(dataset.path).alias("path"),
@@ -126,8 +137,7 @@ def evaluate(
         "*",
     )
     run = F.lit(run_id(dataset.name, now)).alias("run_id")
-    tagged = {name: table.select(run, "*") for name, table in {"summary": described, **tables}.items()}
-    return Evaluation(**tagged)
+    return Evaluation(**{name: table.select(run, "*") for name, table in tables.items()})
 
 
 def evaluate_path(
