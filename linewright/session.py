@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Parsed timestamps are UTC wall clock, so the session must not shift them.
 SETTINGS = {
+    # Parsed timestamps are UTC wall clock, so the session must not shift them.
     "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles methods above 8000 bytes. A stage of many regex columns that
+    # would exceed it runs faster with its expressions compiled one by one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import unquote, urlsplit
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import parse, text
 from ..operators.numbering import physical_line_numbers
@@ -16,6 +16,8 @@ from . import hadoop
 LOG_GLOB = "*.{[lL][oO][gG],[tT][xX][tT]}"
 
 
+_LINE_SCHEMA = "file_path string, relative_path string, source string, host string, line_number bigint, value string"
+
 READ_OPTIONS = {"recursiveFileLookup": "true", "pathGlobFilter": LOG_GLOB}
 
 
@@ -58,16 +60,14 @@ def discover(spark: SparkSession, root: str) -> list[str]:
 
 
 def scan_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every physical line below `root`: (file_path, relative_path, line_number, value).
+    """Every physical line below `root`: (file_path, relative_path, source, host, line_number, value).
 
     Blank lines are included and keep their numbers. The text is read once, in parallel
     over file splits, and staged; see `physical_line_numbers`.
     """
     lines = _load_or_none(spark, "text", root)
     if lines is None:
-        return spark.createDataFrame(
-            [], "file_path string, relative_path string, line_number bigint, value string"
-        )
+        return spark.createDataFrame([], _LINE_SCHEMA)
     return number_scan(lines.select("value", *split_columns()), root)
 
 
@@ -91,13 +91,17 @@ def number_scan(lines: DataFrame, root: str) -> DataFrame:
         ),
         "lines",
     )
-    return physical_line_numbers(
+    path = given_path(spark, F.col("uri"), root)
+    numbered = physical_line_numbers(
         staged,
         file_columns={
-            "file_path": given_path(spark, F.col("uri"), root),
+            "file_path": path,
             "relative_path": relative_path(spark, F.col("uri"), root),
+            "source": parse.source_of(path),
+            "host": parse.host_of(path),
         },
-    ).select("file_path", "relative_path", "line_number", "value")
+    )
+    return numbered.select(*T.StructType.fromDDL(_LINE_SCHEMA).fieldNames())
 
 
 def parse_records(
@@ -107,7 +111,10 @@ def parse_records(
     on_bad_timestamp: str = "null",
     id_mode: str = "stable",
 ) -> DataFrame:
-    """Turn (file_path, line_number, value) into parsed records; blank lines are dropped."""
+    """Turn (file_path, line_number, value) into parsed records; blank lines are dropped.
+
+    Source and host are taken over if the lines have them already. Other columns are kept.
+    """
     raw = F.col("raw_text")
     path = F.col("file_path")
     job = F.lit(job_id).cast("string")
@@ -115,15 +122,15 @@ def parse_records(
     return kept.select(
         parse.record_id(job, path, F.col("line_number"), id_mode).alias("id"),
         parse.timestamp(raw, reference_year, on_bad_timestamp).alias("timestamp"),
-        parse.source_of(path).alias("source"),
-        parse.host_of(path).alias("host"),
+        (F.col("source") if "source" in lines.columns else parse.source_of(path).alias("source")),
+        (F.col("host") if "host" in lines.columns else parse.host_of(path).alias("host")),
         job.alias("job_id"),
         parse.severity(raw).alias("severity"),
         parse.component(raw).alias("component"),
         raw,
         path,
         F.col("line_number"),
-        *[c for c in lines.columns if c not in ("file_path", "line_number", "value")],
+        *[c for c in lines.columns if c not in ("file_path", "line_number", "value", "source", "host")],
     )
 
 

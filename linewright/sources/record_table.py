@@ -43,33 +43,40 @@ class RecordTable:
 
         Replaced rows stay in their partition, so only partitions that hold a replaced id
         are rewritten and all others are left alone. If an id comes twice, the later row by
-        (file_path, line_number) counts; `unique_ids` promises that none does. `scope` is a
-        predicate that holds for all stored rows an incoming id can meet, such as one job:
+        (file_path, line_number) counts. `unique_ids` promises that none does; then the
+        records go straight into the table and are best cheap to derive ids from. `scope` is
+        a predicate that holds for all stored rows an incoming id can meet, such as one job:
         it reaches the Parquet scan and skips the other ingests' files.
         """
-        incoming = stage(records.select(*_COLUMNS), "incoming")
-        count = incoming.count()
-        if count == 0:
-            return 0
-        order = ["file_path", "line_number"]
-        batch = incoming if unique_ids else last_wins(incoming, ["id"], order).select(*_COLUMNS)
+        incoming = records.select(*_COLUMNS)
+        if unique_ids:
+            batch = incoming
+        else:
+            incoming = stage(incoming, "incoming")
+            batch = last_wins(incoming, ["id"], ["file_path", "line_number"]).select(*_COLUMNS)
         number = self._next_batch()
-        stored = self._stored()
-        candidates = stored if scope is None else stored.where(scope)
-        places = candidates.select("id", F.col(BATCH).alias("_home"))
-        met = stage(places.join(batch.select("id"), "id", "left_semi"), "met")
+        met = self._meet(incoming.select("id"), scope)
         touched = [row["_home"] for row in met.select("_home").distinct().collect()]  # a row per ingest at most
         if not touched:
-            batch.withColumn(BATCH, F.lit(number)).write.mode("append").partitionBy(BATCH).parquet(self.path)
-            return count
+            self._write(batch.withColumn(BATCH, F.lit(number)), "append")
+            written = self._stored().where(F.col(BATCH) == number)
+            return (written if unique_ids else incoming).count()
         placed = batch.join(met, "id", "left").withColumn(BATCH, F.coalesce("_home", F.lit(number))).drop("_home")
-        kept = stored.where(F.col(BATCH).isin(touched)).join(met.select("id"), "id", "left_anti")
+        kept = self._stored().where(F.col(BATCH).isin(touched)).join(met.select("id"), "id", "left_anti")
         # Staged first: the partitions being replaced are also being read.
-        changed = stage(placed.unionByName(kept), "changed")
-        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(
-            self.path
-        )
-        return count
+        self._write(stage(placed.unionByName(kept), "changed"), "overwrite")
+        return incoming.select("id").count()
+
+    def _meet(self, ids: DataFrame, scope: Column | None) -> DataFrame:
+        """Stored ids among the incoming ones, with the partition each is in; staged."""
+        stored = self._stored()
+        candidates = stored if scope is None else stored.where(scope)
+        places = candidates.select("id", F.col(BATCH).alias("_home"))
+        return stage(places.join(ids, "id", "left_semi"), "met")
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        writer = rows.write.mode(mode).partitionBy(BATCH)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
     def _batches(self) -> list[int]:
         prefix = f"{BATCH}="

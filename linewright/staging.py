@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Regex work costs much time per byte, so a task should be able to read a small piece.
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local session without one gets its own."""
@@ -34,5 +37,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and return a frame that reads it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
