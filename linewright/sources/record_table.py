@@ -43,8 +43,8 @@ class RecordTable:
 
         Replaced rows stay in their partition, so only partitions that hold a replaced id
         are rewritten and all others are left alone. If an id comes twice, the later row by
-        (file_path, line_number) counts. `unique_ids` promises that none does; then the
-        records go straight into the table and are best cheap to derive ids from. `scope` is
+        (file_path, line_number) counts. `unique_ids` promises that none does: the
+        records are then not staged but go straight into the table. `scope` is
         a predicate that holds for all stored rows an incoming id can meet, such as one job:
         it reaches the Parquet scan and skips the other ingests' files.
         """
