@@ -10,7 +10,6 @@ from .. import schemas
 from ..functions import text
 from ..operators.labels import label_by_file_line, label_by_index, last_wins
 from ..operators.numbering import dense_index
-from ..staging import stage
 from . import files, hadoop
 
 # File names of the two layouts.
