@@ -30,7 +30,7 @@ def comparable(columns, rows):
     return [columns[i] for i in order], sorted(tuple(value(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in contract.queries() if n not in WITHOUT_SQL])
+@pytest.mark.parametrize("name", [n for n in contract.QUERIES if n not in WITHOUT_SQL])
 def test_query(spark, database, name):
     df = contract.queries()[name](spark, FOLDER)
     cursor = database.execute(contract.oracle_sql()[name])
@@ -40,7 +40,7 @@ def test_query(spark, database, name):
 
 
 def test_names_match():
-    assert set(contract.oracle_sql()) == set(contract.queries()) - WITHOUT_SQL
+    assert set(contract.ORACLE) == set(contract.QUERIES) - WITHOUT_SQL
 
 
 def test_entry(spark):
