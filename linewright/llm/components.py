@@ -22,12 +22,11 @@ def _closed(links: DataFrame) -> DataFrame:
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours of every node on the least one: the larger neighbours, or the others."""
-    closed = stage(_closed(links).distinct(), "closed")
-    least = stage(closed.groupBy("u").agg(F.min("v").alias("least")), "least")
+    closed = _closed(links)
+    least = closed.groupBy("u").agg(F.min("v").alias("least"))
     side = F.col("v") > F.col("u") if large else F.col("v") <= F.col("u")
-    moved = closed.where(side).join(least, "u").select(F.col("v").alias("a"), F.col("least").alias("b"))
-    kept = moved.where("a <> b")
-    return stage(kept.distinct(), "star")
+    moved = closed.where(side).join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("least").alias("b"))
+    return moved.where("a <> b").distinct()
 
 
 def _state(links: DataFrame) -> tuple:
@@ -38,8 +37,9 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over the links (a, b), for every node that has one.
 
-    Links of a node with itself give nothing. Each round is two joins on the node; the number of links
-    never grows, and the number of rounds grows with the logarithm of a component's size.
+    Links of a node with itself give nothing. Each round is two joins on the node, in which every node
+    meets one row, its least neighbour; the number of links never grows, and the number of rounds grows with the
+    logarithm of a component's size.
     """
     links = stage(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"
@@ -47,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     now = _state(links)
     while now != before and now[0]:
-        links = _star(_star(links, True), False)
+        links = stage(_star(_star(links, True), False), "star")
         before, now = now, _state(links)
     pairs = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

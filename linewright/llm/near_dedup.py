@@ -155,9 +155,14 @@ def _compare(percent: int):
     return run
 
 
+def _grows(frame: DataFrame) -> DataFrame:
+    """Marks the side of a join that grows with the corpus: it is never broadcast, so the plan is alike at every size."""
+    return frame.hint("merge")
+
+
 def _links(requests: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compare the documents of each block; requests: (block, doc_id, is_query)."""
-    rows = stage(requests, "requests").join(sets, "doc_id").select("block", "doc_id", "is_query", "shingles")
+    rows = requests.join(_grows(sets), "doc_id").select("block", "doc_id", "is_query", "shingles")
     dealt = rows.repartition("block").sortWithinPartitions("block")
     return stage(dealt.mapInArrow(_compare(percent), "a bigint, b bigint"), "links")
 
@@ -168,6 +173,47 @@ def _salts(docs: str = "docs", shingles: str = "shingles"):
     return F.greatest(by_count, by_size, F.lit(1)).cast("int")
 
 
+def _across_blocks(asked: DataFrame, wide: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside the buckets whose least member has more partners than one block takes."""
+    members = asked.join(_grows(wide), "center", "left_semi")
+    parts = stage(
+        members.join(_grows(components(first)), F.col("doc_id") == F.col("node"), "left").select(
+            "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+        ),
+        "parts",
+    )
+    by_part = parts.groupBy("band", "component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    split = stage(
+        by_part.groupBy("band")
+        .agg(
+            F.max_by("component", F.struct("docs", "component")).alias("main"),
+            F.max("docs").alias("in_main"),
+            F.sum("docs").alias("docs"),
+            F.sum("shingles").alias("shingles"),
+            F.count("*").alias("parts"),
+        )
+        .where("parts > 1")
+        .select(
+            "band",
+            "main",
+            _salts().alias("columns"),
+            F.ceil((F.col("docs") - F.col("in_main")) / BLOCK_DOCS).cast("int").alias("rows"),
+        ),
+        "split",
+    )
+    still = parts.join(_grows(split), "band")
+    row = F.pmod(F.xxhash64("doc_id"), F.col("rows")).cast("int")
+    column = F.pmod(F.xxhash64("doc_id"), F.col("columns")).cast("int")
+    asking = still.where("component <> main").select(
+        "doc_id", "band", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(True).alias("is_query")
+    )
+    answering = still.select(
+        "doc_id", "band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"), F.lit(False).alias("is_query")
+    )
+    blocks = asking.unionByName(answering).select(F.struct("band", "row", "column").alias("block"), "doc_id", "is_query")
+    return _links(blocks, sets, percent)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of `docs` (doc_id bigint, text string).
 
@@ -185,29 +231,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"),
         "copies",
     )
-    classed = stage(
-        known.join(copies, "digest", "left").select(
-            "doc_id", F.coalesce("first", "doc_id").alias("first"), "n_shingles", F.when(F.expr("first is null or first = doc_id"), F.col("bands")).alias("bands")
-        ),
-        "classed",
-    )
-    members = stage(
-        classed.where("bands is not null").select("doc_id", "n_shingles", F.explode("bands").alias("band")), "members"
-    )
-    buckets = stage(
-        members.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("band", "center"),
-        "buckets",
-    )
-    asked = stage(members.join(buckets, "band").select("band", "center", "doc_id", "n_shingles"), "asked")
+    bands = F.when(F.expr("first is null or first = doc_id"), F.col("bands"))
+    members = stage(known.join(_grows(copies), "digest", "left").select("doc_id", "n_shingles", F.explode(bands).alias("band")), "members")
+    buckets = members.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last")
+    asked = stage(members.join(_grows(stage(buckets.select("band", "center"), "buckets")), "band").select("band", "center", "doc_id", "n_shingles"), "asked")
     pairs = stage(asked.select("center", "doc_id", "n_shingles").distinct(), "pairs")
     spread = stage(
         pairs.groupBy("center").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).select("center", _salts().alias("salts")),
         "spread",
     )
     sets = stage(
-        docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary"), "sets"
+        docs.join(_grows(pairs.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary"), "sets"
     )
-    salted = pairs.join(spread, "center").select(
+    salted = pairs.join(_grows(spread), "center").select(
         "doc_id",
         "center",
         F.explode(
@@ -217,54 +253,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         ).alias("salt"),
     )
     first = _links(salted.select(F.struct("center", "salt").alias("block"), "doc_id", F.lit(True).alias("is_query")), sets, percent)
-    # Buckets whose least member has more partners than one block takes.
-    wide = asked.join(spread.where("salts > 1").select("center"), "center", "left_semi")
-    labels = stage(components(first), "labels")
-    parts = stage(
-        wide.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-            "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
-        ),
-        "parts",
-    )
-    by_part = parts.groupBy("band", "component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    split = stage(
-        by_part.groupBy("band")
-        .agg(
-            F.max_by("component", F.struct("docs", "component")).alias("main"),
-            F.max("docs").alias("in_main"),
-            F.sum("docs").alias("docs"),
-            F.sum("shingles").alias("shingles"),
-            F.count("*").alias("parts"),
-        )
-        .where("parts > 1")
-        .select(
-            "band",
-            "main",
-            _salts().alias("columns"),
-            F.ceil((F.col("docs") - F.col("in_main")) / BLOCK_DOCS).cast("int").alias("rows"),
-        ),
-        "split",
-    )
-    open_ = stage(parts.join(split, "band"), "open")
-    row = F.pmod(F.xxhash64("doc_id"), F.col("rows")).cast("int")
-    column = F.pmod(F.xxhash64("doc_id"), F.col("columns")).cast("int")
-    asking = open_.where("component <> main").select(
-        "doc_id", "band", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(True).alias("is_query")
-    )
-    answering = open_.select(
-        "doc_id", "band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"), F.lit(False).alias("is_query")
-    )
-    blocks = asking.unionByName(answering).select(F.struct("band", "row", "column").alias("block"), "doc_id", "is_query")
-    second = _links(blocks, sets, percent)
-    joined = stage(components(first.unionByName(second)), "components")
+    wide = spread.where("salts > 1").select("center")
+    links = first if wide.isEmpty() else first.unionByName(_across_blocks(asked, wide, first, sets, percent))
+    joined = stage(components(links), "components")
     # Every row again: the class of its set, then the component of the class.
-    located = stage(
-        sketch.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").select(
-            "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first")
-        ),
-        "located",
+    located = sketch.select("doc_id", "n_shingles", "digest").join(_grows(copies), "digest", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first")
     )
-    final = located.join(joined, F.col("first") == F.col("node"), "left")
+    final = located.join(_grows(joined), F.col("first") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first"))
     return final.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
