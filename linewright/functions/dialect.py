@@ -44,39 +44,87 @@ _ASCII = {
     "b": (r"\b", r"\x08"),
     "B": (r"\B", ""),
 }
-_SHARED = {"v": (r"\x0b", r"\x0b"), "Z": (r"\z", ""), "0": (r"\x00", r"\x00")}
+_SHARED = {"v": (r"\x0b", r"\x0b"), "Z": (r"\z", "")}
 
+# Outside a class, digits are an octal escape if they start with 0 or are three; else they name a group.
+_OCTAL = re.compile(r"\\(0[0-7]{0,2}|[1-7][0-7]{2})")
+_OCTAL_IN_CLASS = re.compile(r"\\([0-7]{1,3})")
 _TOKEN = re.compile(
     r"""\\U(?P<wide>[0-9a-fA-F]{8})
+      | (?P<code>\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4})
       | \\(?P<escape>.)
       | \(\?P<(?P<group>\w+)>
       | \(\?P=(?P<named_ref>\w+)\)
       | \(\?(?P<flags>[aiLmsux-]+)(?P<flags_end>[:)])
       | (?P<conditional>\(\?\()
       | (?P<comment>\(\?\#[^)]*\))
+      | (?P<plain_group>\(\?:)
       | \{(?P<repeat>\d*,?\d*)\}
       | (?P<other>.)""",
     re.VERBOSE | re.DOTALL,
 )
-
-
-# Next to something that surely matches a word character, half of a boundary is enough.
-_ONE_WORD_CHAR = r"(?:\\[wd]|(?<!\\)[A-Za-z0-9_]|\[(?:\\[wd]|\w-\w|\w)+\])"
-_WORD_AHEAD = re.compile(_ONE_WORD_CHAR + r"(?![*?]|\{[0,])", re.ASCII)
-_GROUP_AHEAD = re.compile(r"\(\?:" + _ONE_WORD_CHAR + r"(?![*?]|\{[0,])[^|]*$", re.ASCII)
-_OPTIONAL_GROUP = re.compile(r"\)(?:[*?]|\{[0,])")
-_WORD_BEHIND = re.compile(
-    rf"(?:{_ONE_WORD_CHAR}(?:\+|\{{[1-9]\d*(?:,\d*)?\}})?|\((?:\?:)?(?:\w+\|)*\w+\))$", re.ASCII
-)
-
-
-def _boundary(before: str, after: str) -> str:
-    if not re.search(r"\\[xuUN0-9]", before + after):
-        group = _GROUP_AHEAD.match(after) and not _OPTIONAL_GROUP.search(after)
-        if group or _WORD_AHEAD.match(after):
-            return f"(?<![{WORD}])"
-        if _WORD_BEHIND.search(before):
-            return f"(?![{WORD}])"
+# A class, as text, whose members all are ASCII word characters or \w and \d.
+_WORD_CLASS = re.compile(r"\[(?:\\[wd]|[a-z]-[a-z]|[A-Z]-[A-Z]|[0-9]-[0-9]|[A-Za-z0-9_](?!-[^\]]))+\]")
+_ANY_CLASS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]", re.DOTALL)
+
+
+def _atoms(pattern: str) -> list[tuple[int, str, bool]]:
+    """(start, text, whether it surely matches one word character) of each atom, quantifier or mark."""
+    out = []
+    at = 0
+    while at < len(pattern):
+        if pattern[at] == "[":
+            text = _ANY_CLASS.match(pattern, at).group(0)
+            word = bool(_WORD_CLASS.fullmatch(text))
+        else:
+            token = _OCTAL.match(pattern, at) or _TOKEN.match(pattern, at)
+            text = token.group(0)
+            word = text in (r"\w", r"\d") or (text.isascii() and (text.isalnum() or text == "_"))
+        out.append((at, text, word))
+        at += len(text)
+    return out
+
+
+def _may_be_absent(text: str) -> bool:
+    return text in ("?", "*") or text == "{}" or bool(re.match(r"\{(?:0|,)", text))
+
+
+def _follows_word(atoms: list[tuple[int, str, bool]], i: int) -> bool:
+    """Whether what stands before atom i surely ends in a word character."""
+    i -= 1
+    # A lazy or possessive sign, then the repeat itself.
+    while i > 0 and (atoms[i][1] == "+" or re.fullmatch(r"\{[1-9]\d*(?:,\d*)?\}", atoms[i][1])):
+        i -= 1
+    return i >= 0 and atoms[i][2]
+
+
+def _precedes_word(atoms: list[tuple[int, str, bool]], i: int) -> bool:
+    """Whether what stands after atom i surely begins with a word character."""
+    i += 1
+    if i < len(atoms) and atoms[i][1] == "(?:":
+        depth, end = 1, i + 1
+        while end < len(atoms) and depth:
+            text = atoms[end][1]
+            if text == "|" and depth == 1:
+                return False
+            depth += text.startswith("(") and not text.endswith(")")
+            depth -= text == ")"
+            end += 1
+        if end < len(atoms) and _may_be_absent(atoms[end][1]):
+            return False
+        i += 1
+    if i >= len(atoms) or not atoms[i][2]:
+        return False
+    return i + 1 >= len(atoms) or not _may_be_absent(atoms[i + 1][1])
+
+
+def _boundary(atoms: list[tuple[int, str, bool]], start: int) -> str:
+    """Next to something that surely matches a word character, half of a boundary is enough."""
+    i = next(k for k, atom in enumerate(atoms) if atom[0] == start)
+    if _precedes_word(atoms, i):
+        return f"(?<![{WORD}])"
+    if _follows_word(atoms, i):
+        return f"(?![{WORD}])"
     return _BOUNDARY
 
 
@@ -91,16 +139,27 @@ def to_java(pattern: str, ascii_text: bool = False) -> str:
     out: list[str] = []
     in_class = negated = False
     class_start = -1  # index in `out` where the members of the open class begin
-    for token in _TOKEN.finditer(pattern):
+    atoms = _atoms(pattern)
+    at = 0
+    while at < len(pattern):
+        octal = (_OCTAL_IN_CLASS if in_class else _OCTAL).match(pattern, at)
+        if octal:
+            out.append(rf"\x{int(octal[1], 8):02x}")
+            at = octal.end()
+            continue
+        token = _TOKEN.match(pattern, at)
+        at = token.end()
         text = token.group(0)
         escape = token["escape"]
         if token["wide"]:
             out.append(rf"\x{{{token['wide']}}}")
+        elif token["code"]:
+            out.append(text)
         elif escape in escapes:
             if in_class and negated and escape in "WDS":
                 raise ValueError(f"negated class with \\{escape} has no safe Java form: {pattern}")
             if escape == "b" and not in_class and not ascii_text:
-                out.append(_boundary(pattern[: token.start()], pattern[token.end() :]))
+                out.append(_boundary(atoms, token.start()))
             else:
                 out.append(escapes[escape][in_class])
         elif escape:
@@ -148,8 +207,10 @@ def to_java(pattern: str, ascii_text: bool = False) -> str:
     return "(?d)" + java if re.search(r"[.^$]", pattern) else java
 
 
-_TEMPLATE = re.compile(r"\\g<(?P<ref>\w+)>|\\(?P<number>[1-9]\d?)|\\(?P<escape>.)|(?P<plain>[^\\]+)", re.DOTALL)
-_TEMPLATE_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\\": "\\"}
+_TEMPLATE = re.compile(
+    r"\\g<(?P<ref>\w+)>|\\(?P<octal>0[0-7]?[0-7]?|[1-3][0-7]{2})|\\(?P<number>[1-9]\d?)|\\(?P<escape>.)|(?P<plain>[^\\]+)", re.DOTALL
+)
+_TEMPLATE_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\"}
 
 
 def to_java_replacement(template: str, pattern: str) -> str:
@@ -164,7 +225,7 @@ def to_java_replacement(template: str, pattern: str) -> str:
                 raise ValueError(f"replacement refers to a missing group: {template}")
             out.append(f"${number}")
             continue
-        literal = part["plain"]
+        literal = chr(int(part["octal"], 8)) if part["octal"] else part["plain"]
         if literal is None:
             if part["escape"].isascii() and part["escape"].isalpha() and part["escape"] not in _TEMPLATE_ESCAPES:
                 raise ValueError(f"unknown escape in replacement: {template}")

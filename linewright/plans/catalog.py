@@ -27,6 +27,8 @@ JOB = "events"
 
 # A user's own list: a disabled rule, a group reference, two rules that share a name.
 CUSTOM_RULES = (
+    Rule("colour", r"\033\[[0-9;]*m", ""),
+    Rule("bracket", r"\[error]\b|\[[a-z]+\]", "[<KIND>]"),
     Rule("key_value", r"(\w+)=\w+", r"\1=<VALUE>"),
     Rule("number", r"\b\d+\b", "<N>", enabled=False),
     Rule("unit", r"\b\d+\s?ms\b", "<MS>"),
@@ -45,10 +47,9 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _templated(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled event lines, normalized, with one template column per method; staged."""
-    lines = corpus.labelled_events(spark, d)
-    normalized = lines.withColumn("normalized_text", normalize(F.col("raw_text")))
-    return stage(grouping.with_templates(normalized), "templated")
+    """Labelled event lines with one template column per method; staged."""
+    lines = corpus.labelled_events(spark, d).withColumn("normalized_text", normalize(F.col("raw_text")))
+    return stage(grouping.with_templates(lines).select(*evaluate.LINE_COLUMNS, *grouping.METHODS), "templated")
 
 
 def _method_lines(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -58,12 +59,18 @@ def _method_lines(spark: SparkSession, d: str, name: str) -> DataFrame:
     return stage(normalized.select("index", template.alias(name)), "templated")
 
 
-def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    return stage(grouping.predict_all(_templated(spark, d)), "predicted")
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.keyed_methods(_templated(spark, d))
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.contingency(grouping.predict_all(_templated(spark, d)))
+    """The contingency table straight from the lines: staged, as each score reads it several times."""
+    keyed = grouping.keyed_methods(
+        grouping.with_templates(corpus.labelled_events(spark, d).withColumn("normalized_text", normalize(F.col("raw_text")))).select(
+            *evaluate.LINE_COLUMNS, *grouping.METHODS
+        )
+    )
+    return metrics.contingency(keyed)
 
 
 def _one_method(name: str) -> Query:
@@ -176,7 +183,8 @@ def normalize_trace(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_custom(spark: SparkSession, d: str) -> DataFrame:
-    traced = with_trace(_texts(spark, d), rules=CUSTOM_RULES)
+    coloured = F.concat(F.lit("\x1b[31m"), "raw_text", F.lit("\x1b[0m"))
+    traced = with_trace(_texts(spark, d).withColumn("raw_text", coloured), rules=CUSTOM_RULES)
     counts = F.to_json("replacement_counts").alias("replacement_counts")
     return traced.select("event_id", "normalized_text", "changed", counts)
 
@@ -193,14 +201,12 @@ def token_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_all_methods(spark: SparkSession, d: str) -> DataFrame:
-    predicted = grouping.predict_all(_templated(spark, d))
-    return predicted.select("method", "index", "predicted_group_id", "predicted_template")
+    lines = _templated(spark, d).select("index", *grouping.METHODS)
+    return grouping.predict_all(lines).select("method", "index", "predicted_group_id", "predicted_template")
 
 
 def template_counts(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.template_counts(_templated(spark, d), "normalized_identity").withColumnRenamed(
-        "normalized_identity", "template"
-    )
+    return grouping.template_counts(_texts(spark, d).select("index", normalize(F.col("raw_text")).alias("template")))
 
 
 def document_templates(spark: SparkSession, d: str) -> DataFrame:
@@ -247,27 +253,25 @@ def changed_examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def template_scores(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.template_metrics(_cells(spark, d))
+    return metrics.template_metrics(stage(_cells(spark, d), "cells"))
 
 
 def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.pair_metrics(_cells(spark, d))
+    return metrics.pair_metrics(stage(_cells(spark, d), "cells"))
 
 
 def template_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_method(errors.template_mismatches, _predicted(spark, d))
+    return evaluate.per_method(errors.template_mismatches, _keyed(spark, d))
 
 
 def false_splits(spark: SparkSession, d: str) -> DataFrame:
-    predicted = _predicted(spark, d)
-    cells = stage(metrics.contingency(predicted), "cells")
-    return evaluate.per_method(errors.false_splits, predicted, cells)
+    keyed = _keyed(spark, d)
+    return evaluate.per_method(errors.false_splits, keyed, stage(metrics.contingency(keyed), "cells"))
 
 
 def false_merges(spark: SparkSession, d: str) -> DataFrame:
-    predicted = _predicted(spark, d)
-    cells = stage(metrics.contingency(predicted), "cells")
-    return evaluate.per_method(errors.false_merges, predicted, cells)
+    keyed = _keyed(spark, d)
+    return evaluate.per_method(evaluate.named_merges, keyed, stage(metrics.contingency(keyed), "cells"))
 
 
 def failure_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +314,7 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
-    scored = evaluate.predict_and_count(evaluate.normalized_lines(corpus.labelled_events(spark, d)))
+    scored = evaluate.score_inputs(evaluate.normalized_lines(corpus.labelled_events(spark, d)))
     return evaluate.summarize(scored.lines, scored.cells)
 
 

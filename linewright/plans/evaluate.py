@@ -12,7 +12,7 @@ from ..functions.normalize import with_counts
 from ..functions.perturb import DEFAULT_SEED, perturb
 from ..functions.rules import DEFAULT_RULES, Rule
 from ..operators import errors, metrics
-from ..operators.grouping import METHODS, predict_all, with_templates
+from ..operators.grouping import METHODS, keyed_methods, name_groups, predict_all, with_templates
 from ..sources.datasets import LabelledLines, load_labelled
 from ..staging import stage
 
@@ -82,38 +82,47 @@ def summarize(lines: DataFrame, cells: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scored:
-    """Staged inputs of the result tables: normalized lines, predictions, contingency table."""
+    """Two staged inputs of the result tables, normalized lines and the contingency table; `keyed` is a view of the lines."""
 
     lines: DataFrame
-    predicted: DataFrame
+    keyed: DataFrame
     cells: DataFrame
 
 
-def predict_and_count(lines: DataFrame) -> Scored:
-    """Group normalized lines with every method.
+LINE_COLUMNS = ("index", "raw_text", "expected_group_id", "expected_template")
 
-    Lines and predictions are staged once each: a dozen passes over single columns follow.
+
+def score_inputs(lines: DataFrame) -> Scored:
+    """Stage normalized lines once, with a template per method, and count them per label and template.
+
+    Scores tell groups apart by template keys; group ids are only made for predictions and printed examples.
     """
-    lines = stage(with_templates(lines), "normalized")
-    labelled = lines.select("index", "raw_text", "expected_group_id", "expected_template", *METHODS)
-    predicted = stage(predict_all(labelled), "predicted")
-    return Scored(lines, predicted, stage(metrics.contingency(predicted), "cells"))
+    lines = stage(with_templates(lines).drop("normalized_text"), "normalized")
+    keyed = keyed_methods(lines.select(*LINE_COLUMNS, *METHODS))
+    return Scored(lines, keyed, stage(metrics.contingency(keyed), "cells"))
+
+
+def named_merges(keyed: DataFrame, cells: DataFrame, k: int = MAX_EXAMPLES) -> DataFrame:
+    return name_groups(errors.false_merges(keyed, cells, k), cells)
 
 
 def result_tables(
     scored: Scored, rules: Sequence[Rule] = DEFAULT_RULES, k: int = MAX_EXAMPLES
 ) -> dict[str, DataFrame]:
     """All result tables by name."""
-    lines, predicted, cells = scored.lines, scored.predicted, scored.cells
+    lines, keyed, cells = scored.lines, scored.keyed, scored.cells
+    plain = lines.withColumn("normalized_text", F.col("normalized_identity"))
     return {
         "summary": summarize(lines, cells),
         "rule_counts": metrics.replacement_counts(lines, rules),
-        "changed_examples": metrics.changed_examples(lines, k),
-        "template_mismatches": per_method(lambda p: errors.template_mismatches(p, k), predicted),
-        "false_splits": per_method(lambda p, c: errors.false_splits(p, c, k), predicted, cells),
-        "false_merges": per_method(lambda p, c: errors.false_merges(p, c, k), predicted, cells),
+        "changed_examples": metrics.changed_examples(plain, k),
+        "template_mismatches": per_method(lambda p: errors.template_mismatches(p, k), keyed),
+        "false_splits": per_method(lambda p, c: errors.false_splits(p, c, k), keyed, cells),
+        "false_merges": per_method(lambda p, c: named_merges(p, c, k), keyed, cells),
         "failure_patterns": per_method(lambda c: errors.failure_patterns(c, k), cells),
-        "predictions": predicted.select("method", "index", "predicted_group_id", "predicted_template"),
+        "predictions": predict_all(lines.select("index", *METHODS)).select(
+            "method", "index", "predicted_group_id", "predicted_template"
+        ),
     }
 
 
@@ -127,7 +136,7 @@ def evaluate(
 ) -> Evaluation:
     """Normalize, group and score a labelled set with every method."""
     lines = normalized_lines(dataset.records, rules, perturbed, seed)
-    tables = result_tables(predict_and_count(lines), rules, k)
+    tables = result_tables(score_inputs(lines), rules, k)
     tables["summary"] = tables["summary"].select(
         F.lit(dataset.name).alias("dataset"),
         F.lit(dataset.kind).alias("kind"),

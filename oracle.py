@@ -38,7 +38,7 @@ select event_id, event_type, user_id, event_id + 1 as line_number,
 from events),
 tx as (select *, event_id + 1 as idx, trim(value, ' ' || chr(9)) as raw_text from ev where trim(value, ' ' || chr(9)) <> '')"""
 
-# rule -> (pattern, replacement) usable by RE2 as they stand, in rule order
+# Rule -> (pattern, replacement) usable by RE2 as they stand, in rule order
 _IP = (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP>")
 _UUID = (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>")
 _HEX = (r"\b0x[0-9a-fA-F]+\b", "<HEX>")
@@ -215,7 +215,10 @@ def _perturb() -> str:
 _KEYED = "keyed as (select *, sha256('7|' || idx || '|' || raw_text) as key from tx)"
 _PERTURBED = f"with {_EV}, {_KEYED}, {_perturb()}"
 
-_CUSTOM_STEPS = r"""u1 as (select *, regexp_replace(raw_text, '(\w+)=\w+', '\1=<VALUE>', 'g') as a1, len(regexp_extract_all(raw_text, '(\w+)=\w+')) as c1 from tx),
+_CUSTOM_STEPS = r"""k1 as (select * replace (chr(27) || '[31m' || raw_text || chr(27) || '[0m' as raw_text) from tx),
+k2 as (select *, regexp_replace(raw_text, '\x1b\[[0-9;]*m', '', 'g') as b1, len(regexp_extract_all(raw_text, '\x1b\[[0-9;]*m')) as d1 from k1),
+k3 as (select *, regexp_replace(b1, '\[error]\b|\[[a-z]+\]', '[<KIND>]', 'g') as b2, len(regexp_extract_all(b1, '\[error]\b|\[[a-z]+\]')) as d2 from k2),
+u1 as (select *, regexp_replace(b2, '(\w+)=\w+', '\1=<VALUE>', 'g') as a1, len(regexp_extract_all(b2, '(\w+)=\w+')) as c1 from k3),
 u2 as (select *, regexp_replace(a1, '\b\d+\s?ms\b', '<MS>', 'g') as a2, len(regexp_extract_all(a1, '\b\d+\s?ms\b')) as c2 from u1),
 u3 as (select *, regexp_replace(a2, '\bnode\d+\b', '<NODE>', 'g') as a3, len(regexp_extract_all(a2, '\bnode\d+\b')) as c3 from u2),
 u4 as (select *, regexp_replace(a3, '\buser \d+\b', '$USER', 'g') as a4, len(regexp_extract_all(a3, '\buser \d+\b')) as c4 from u3)"""
@@ -266,7 +269,7 @@ select event_id, normalized_text, normalized_text <> raw_text as changed,
     "rule_int": _single_numeric(_INT),
     "normalize_custom": f"""with {_EV}, {_CUSTOM_STEPS}
 select event_id, a4 as normalized_text, a4 <> raw_text as changed,
-  {_json_counts([('key_value', 'c1'), ('unit', 'c2'), ('node', 'c3 + c4')])} as replacement_counts from u4""",
+  {_json_counts([('colour', 'd1'), ('bracket', 'd2'), ('key_value', 'c1'), ('unit', 'c2'), ('node', 'c3 + c4')])} as replacement_counts from u4""",
     "token_signature": f"{_NORM} select event_id, {_SIGNATURE} as signature from norm",
     "group_identity": _one_method("normalized_identity"),
     "group_token_pattern": _one_method("token_pattern"),

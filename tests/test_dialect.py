@@ -38,6 +38,8 @@ PATTERNS = [
     r"[]x]", r"[^]x]", r"[[a]", r"[&&]", r"[a^b]", r"[^^a]", r"a{,2}b", r"x{", r"ax{,}|{a}|a{|b{}", r"\d{2,}", r"(?P<head>\w)(?P=head)", r"(?i)ÉA|ß", r"(?s)a.",
     r".+", r"^.", r".$", r"(?m)^\w|\w$", r"\A\s", r"\s\Z", r"(?#note)ab?", r"\$|\^|\.", r"\v|\f|\x1c", r"\u00e9", r"\U0001F600", r"(?<!\w)\w",
     r"(?:\d{1,3}\.){3}\d{1,3}(?!\w)", r"[\b]", r"#+|&+",
+    r"\033\[[0-9;]*m", r"\012", r"\0", r"[\0\11\040-\043]", r"\141|\x62", r"\[INFO]\b", r"\b[A-z]+\b", r"[0-_]\b", r"(?:-|\(ab)\b", r"\b(?:a|-)x?",
+    r"\b\[", r"\w{0,2}\b.", r"\b[a-c\d]+x?\b", r"(?:\bab)?\b", r"\b(?:[a-f]{2})*-",
 ]
 
 
@@ -57,11 +59,44 @@ def test_patterns_agree_with_python(spark, ascii_only):
     assert wrong == []
 
 
+def random_pattern(rng):
+    """A pattern of pieces that often stand next to a boundary."""
+    atoms = [r"\w", r"\d", "a", "1", "_", "-", r"\.", r"\[", "é", "[a-c]", "[A-z]", "[0-_]", r"[\d-]", r"[\w.]", "[^a]", r"[\]a]", r"\061", r"\x2d", r"(?:a|-)", "(?:ab)", "(x)"]
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        out.append(rng.choice([r"\b", r"\b", r"\B", ""]))
+        out.append(rng.choice(atoms) + rng.choice(["", "", "", "+", "?", "{1,2}", "{0,1}", "*?"]))
+    out.append(rng.choice([r"\b", ""]))
+    return "".join(out)
+
+
+def test_random_patterns_agree_with_python(spark):
+    rng = random.Random(5)
+    patterns = []
+    while len(patterns) < 150:
+        pattern = random_pattern(rng)
+        if re.fullmatch(pattern, "") is None and not any(re.search(pattern, x) and not re.search(pattern, x).group() for x in ("", "a", "a-", "é1")):
+            patterns.append(pattern)
+    values = random_texts(9, 150) + ["é [INFO]x [INFO] y", "é [b] c ^d", "a-b é-1", "ab.1_é[a]", "-- a1b a-b"]
+    values += [v.encode("ascii", "ignore").decode() for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    wrong = []
+    for ascii_only in (False, True):
+        rows = df.select("t", *[F.regexp_replace("t", to_java(p, ascii_only), "<>").alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+        for row in rows:
+            for i, pattern in enumerate(patterns):
+                if (row["t"].isascii() or not ascii_only) and row[f"p{i}"] != re.sub(pattern, "<>", row["t"]):
+                    if any(not m.group() for m in re.finditer(pattern, row["t"])):
+                        continue  # the engines move on differently after an empty match
+                    wrong.append((pattern, row["t"], row[f"p{i}"]))
+    assert wrong == []
+
+
 @pytest.mark.parametrize(
     "pattern, template",
     [
         (r"(\w+)=(\w+)", r"\2=\1"), (r"(?P<key>\w+)=\w+", r"\g<key>=$1"), (r"(\d)", r"\g<1>0"), (r"(\d)", r"\g<1>\g<1>"),
-        (r"\d+", r"a\\b$c"), (r"\d+", r"\n\t"), (r"\d+", "$"), (r"(a)(b)?", r"[\2]"), (r"\d+", "{x}"),
+        (r"\d+", r"a\\b$c"), (r"\d+", r"\n\t"), (r"\d+", "$"), (r"(a)(b)?", r"[\2]"), (r"\d+", "{x}"), (r"\d+", r"\033[\0]"), (r"(\d)", r"\1\101"),
     ],
 )
 def test_replacements_agree_with_python(spark, pattern, template):
