@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, functions as F
@@ -12,9 +13,9 @@ from .text import is_ascii
 # The accepted leading timestamps, severity words, component and file-name
 # shapes, and month names.
 LEADING_TIMESTAMP = (
-    r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z"
-    r"| [0-9]{2}:[0-9]{2}:[0-9]{2}(?:,[0-9]{3})?)"
-    r"|[A-Z][a-z]{2} [0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})"
+    r"^(?:\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z"
+    r"| \d{2}:\d{2}:\d{2}(?:,\d{3})?)"
+    r"|[A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2})"
 )
 SEVERITIES = ("DEBUG", "INFO", "WARN", "WARNING", "ERROR", "CRITICAL", "FATAL")
 COMPONENT = r"\[([A-Za-z0-9_.-]+)\]"
@@ -28,6 +29,17 @@ def current_utc_year() -> int:
     return datetime.now(UTC).year
 
 
+def _zeros() -> list[str]:
+    """The zero of every decimal digit block that Python knows."""
+    return [chr(c) for c in range(0x660, 0x20000) if unicodedata.decimal(chr(c), None) == 0]
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of all scripts as ASCII ones."""
+    others = "".join(chr(ord(zero) + d) for zero in _zeros() for d in range(10))
+    return F.translate(text, others, "0123456789" * (len(others) // 10))
+
+
 def timestamp(text: Column, reference_year: int | None = None, on_bad: str = "null") -> Column:
     """UTC wall-clock time at the start of a line, null if there is none.
 
@@ -39,7 +51,8 @@ def timestamp(text: Column, reference_year: int | None = None, on_bad: str = "nu
         raise ValueError(f"on_bad must be 'null' or 'fail', not {on_bad!r}")
     year = reference_year if reference_year is not None else current_utc_year()
     # One pass finds whichever form starts the line; length and punctuation tell them apart.
-    found = F.regexp_extract(text, LEADING_TIMESTAMP, 0)
+    fast, full = (F.regexp_extract(text, to_java(LEADING_TIMESTAMP, ascii_text), 0) for ascii_text in (True, False))
+    found = F.when(is_ascii(text), fast).otherwise(ascii_digits(full))
     months = F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS, 1) for v in (m, f"{i:02d}")])
     syslog = F.concat(
         F.lit(f"{year:04d}-"),
@@ -51,7 +64,12 @@ def timestamp(text: Column, reference_year: int | None = None, on_bad: str = "nu
         F.translate(found, ",Z", ".")
     )
     parsed = canonical.try_cast("timestamp_ntz") if on_bad == "null" else canonical.cast("timestamp_ntz")
-    return F.when(found != "", parsed)
+    if on_bad == "null":
+        real = ~canonical.startswith("0000")
+    else:
+        no_year = F.raise_error(F.concat(F.lit("no such year: "), found)).cast("boolean")
+        real = F.when(canonical.startswith("0000"), no_year).otherwise(F.lit(True))
+    return F.when((found != "") & real, parsed)
 
 
 def severity(text: Column) -> Column:

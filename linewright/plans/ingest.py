@@ -19,6 +19,7 @@ class IngestSummary:
     log_lines_ingested: int
     records_written: int
     table_path: str
+    files_skipped: int = 0
 
 
 def normalized_records(records: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
@@ -32,11 +33,11 @@ def same_job(job_id: str | None) -> Column:
 def store_records(table: RecordTable, records: DataFrame, job_id: str | None, id_mode: str = "stable") -> int:
     """Upsert the records of one run.
 
-    A scan yields every (file, line) once, so ids are unique within it, and stable ids
-    include the job, so they can only meet rows of the same job.
+    A scan yields every (file, line) once, so ids are unique within it. Stable ids
+    include the job, so they can only meet rows of the same job; random ones meet none.
     """
-    scope = same_job(job_id) if id_mode == "stable" else None
-    return table.upsert(records, unique_ids=True, scope=scope)
+    stable = id_mode == "stable"
+    return table.upsert(records, unique_ids=True, scope=same_job(job_id) if stable else None, new_ids=not stable)
 
 
 def ingest(
@@ -46,11 +47,16 @@ def ingest(
     job_id: str | None = None,
     rules: Sequence[Rule] = DEFAULT_RULES,
     id_mode: str = "stable",
+    on_hidden: str = "fail",
     **parse_options,
 ) -> IngestSummary:
-    """Ingest all log files below `root`; a repeated run with stable ids replaces its rows."""
+    """Ingest all log files below `root`; a repeated run with stable ids replaces its rows.
+
+    Files are counted in the listing that the scan reads from. For `on_hidden` see `files.open_scan`.
+    """
     table = RecordTable(spark, table_path)
     table.create()
-    records = files.load_records(spark, root, job_id, id_mode=id_mode, **parse_options)
+    scan = files.open_scan(spark, root, on_hidden)
+    records = files.parse_records(files.numbered(scan, root), job_id, id_mode=id_mode, **parse_options)
     written = store_records(table, normalized_records(records, rules), job_id, id_mode)
-    return IngestSummary(len(files.discover(spark, root)), written, written, table_path)
+    return IngestSummary(scan.n_files, written, written, table_path, len(scan.skipped))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,9 +16,28 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Arrow batches of whole documents are bounded by rows first.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Put the settings on a session that was made elsewhere; they stay set after a query.
+
+    A local session without spark.checkpoint.dir gets a temporary folder, since driver and executors are one process there. Python
+    workers of a local session find this package where the driver did; on a cluster it is shipped with --py-files.
+    """
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="linewright-"))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
 def build_session(app_name: str = "linewright", master: str | None = None, **extra: str) -> SparkSession:
     """Create (or reuse) a session with the settings above; `extra` wins over them."""
     builder = SparkSession.builder.appName(app_name)

@@ -44,16 +44,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["event_id", "ts", "user_id", "event_type", "value"]
-    events = _spread(_read(spark, sf_dir, "events").select(*columns), "event_id")
+    events = _read(spark, sf_dir, "events").select(*columns)
     return events.withColumn("digest", F.md5(F.col("event_id").cast("string")))
 
 
-def _spread(table: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table too small to be read in as many splits; else no shuffle."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
-
-
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One physical log line per event: (event_id, event_type, user_id, file_path, line_number, value)."""
     events = _events(spark, sf_dir)
@@ -123,7 +117,7 @@ def write_log_tree(spark: SparkSession, sf_dir: str) -> str:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every physical line of every document: (doc_id, file_path, line_number, value)."""
-    documents = _spread(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     pieces = documents.select(
         "doc_id",
         F.concat(F.lit("/docs/"), "source", F.lit("-doc"), "doc_id", F.lit(".txt")).alias("file_path"),

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlsplit
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import parse, text
@@ -21,13 +20,44 @@ _LINE_SCHEMA = "file_path string, relative_path string, source string, host stri
 READ_OPTIONS = {"recursiveFileLookup": "true", "pathGlobFilter": LOG_GLOB}
 
 
-def _load_or_none(spark: SparkSession, source: str, root: str) -> DataFrame | None:
-    try:
-        return spark.read.format(source).options(**READ_OPTIONS).load(root)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+@dataclass(frozen=True)
+class Scan:
+    """The lines below a root, the number of files they come from, and log files left out."""
+
+    lines: DataFrame | None
+    n_files: int
+    skipped: list[str]
+
+
+def _is_log(name: str) -> bool:
+    return name.lower().endswith((".log", ".txt"))
+
+
+def _is_hidden(name: str) -> bool:
+    """Whether Spark's file sources pass over a name that they come to while listing a folder."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def open_scan(spark: SparkSession, root: str, on_hidden: str = "fail") -> Scan:
+    """Start a scan of all log files below `root`, hidden folders included.
+
+    Spark can be sent into a hidden folder, but not to a hidden file: those are an error, or with `on_hidden="skip"`
+    named in `skipped`.
+    """
+    if on_hidden not in ("fail", "skip"):
+        raise ValueError(f"on_hidden must be 'fail' or 'skip', not {on_hidden!r}")
+    below = [path for path in hadoop.files_below(spark, root) if _is_log(path or root)]
+    skipped = [path for path in below if _is_hidden(hadoop.base_name(path or root))]
+    if skipped and on_hidden == "fail":
+        raise ValueError(f"{len(skipped)} log files have names that Spark does not read, such as {skipped[0] or root}")
+    if len(skipped) == len(below):
+        return Scan(None, 0, skipped)
+    roots = {root}
+    for path in below:
+        folders = path.split("/")[:-1]
+        roots |= {"/".join([root.rstrip("/"), *folders[: i + 1]]) for i, name in enumerate(folders) if _is_hidden(name)}
+    lines = spark.read.format("text").options(**READ_OPTIONS).load(sorted(roots))
+    return Scan(lines, len(lines._jdf.inputFiles()), skipped)
 
 
 def given_path(spark: SparkSession, uri: Column, root: str) -> Column:
@@ -45,30 +75,26 @@ def relative_path(spark: SparkSession, uri: Column, root: str) -> Column:
 
 
 def discover(spark: SparkSession, root: str) -> list[str]:
-    """Log files below `root` (or `root` itself), ordered by path components.
-
-    This is the listing Spark makes for any scan and keeps on the driver; unlike a scan it
-    includes empty files.
-    """
-    listing = _load_or_none(spark, "text", root)
-    if listing is None:
-        return []
-    absolute = hadoop.absolute_path(spark, root).rstrip("/")
-    below = [unquote(urlsplit(uri).path)[len(absolute) + 1 :] for uri in listing.inputFiles()]
+    """Log files below `root` (or `root` itself), whatever their names, ordered by path components."""
+    below = [path for path in hadoop.files_below(spark, root) if _is_log(path or root)]
     ordered = sorted(below, key=lambda path: path.split("/"))
     return [f"{root.rstrip('/')}/{path}" if path else root for path in ordered]
 
 
-def scan_lines(spark: SparkSession, root: str) -> DataFrame:
+def scan_lines(spark: SparkSession, root: str, on_hidden: str = "fail") -> DataFrame:
     """Every physical line below `root`: (file_path, relative_path, source, host, line_number, value).
 
     Blank lines are included and keep their numbers. The text is read once, in parallel
     over file splits, and staged; see `physical_line_numbers`.
     """
-    lines = _load_or_none(spark, "text", root)
-    if lines is None:
-        return spark.createDataFrame([], _LINE_SCHEMA)
-    return number_scan(lines.select("value", *split_columns()), root)
+    return numbered(open_scan(spark, root, on_hidden), root)
+
+
+def numbered(scan: Scan, root: str) -> DataFrame:
+    """The lines of a scan with their numbers."""
+    if scan.lines is None:
+        return SparkSession.active().createDataFrame([], _LINE_SCHEMA)
+    return number_scan(scan.lines.select("value", *split_columns()), root)
 
 
 def split_columns() -> list[Column]:
@@ -134,6 +160,8 @@ def parse_records(
     )
 
 
-def load_records(spark: SparkSession, root: str, job_id: str | None = None, **options) -> DataFrame:
+def load_records(
+    spark: SparkSession, root: str, job_id: str | None = None, on_hidden: str = "fail", **options
+) -> DataFrame:
     """Parsed records of all log files below `root`."""
-    return parse_records(scan_lines(spark, root), job_id, **options)
+    return parse_records(scan_lines(spark, root, on_hidden), job_id, **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -36,5 +37,49 @@ def absolute_path(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(hadoop_path).toUri().getPath()
 
 
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Paths of all files below a folder, relative to it, whatever their names; empty text for a path that is a file."""
+    fs, hadoop_path = _resolve(spark, path)
+    if not fs.exists(hadoop_path):
+        return []
+    root = absolute_path(spark, path).rstrip("/")
+    found, out = fs.listFiles(hadoop_path, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toUri().getPath()[len(root) + 1 :])
+    return out
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small new file; an existing one is an error."""
+    fs, hadoop_path = _resolve(spark, path)
+    stream = fs.create(hadoop_path, False)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hadoop_path = _resolve(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file to a name that nobody has taken, in one step; False if it is taken."""
+    jvm = spark.sparkContext._jvm
+    fs, target_path = _resolve(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(source), target_path, no_options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def base_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]

@@ -1,21 +1,38 @@
-"""The record table: Parquet, one partition per ingest, upserts by id."""
+"""The record table: immutable Parquet parts and a manifest per version that names them; upserts by id.
+
+A writer puts its part next to the others and publishes a manifest for the version after the one it read. The rename that
+publishes fails if another writer was first; then only the search for replaced ids is done again. Readers take the newest manifest, so they see
+a whole version before, while and after a write, and a writer that dies leaves the old one. Parts that no manifest of
+interest names can be deleted like any old files.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.labels import last_wins
 from ..schemas import LOG_RECORD
 from ..staging import stage
 from . import hadoop
 
-BATCH = "batch"
-_STORED = T.StructType([*LOG_RECORD.fields, T.StructField(BATCH, T.IntegerType())])
 _COLUMNS = LOG_RECORD.fieldNames()
+_DIGITS = 12
+
+
+@dataclass(frozen=True)
+class Version:
+    """A number and the parts of the table then: folder name -> key of the load that wrote it, or null."""
+
+    number: int
+    parts: dict[str, str | None]
 
 
 class RecordTable:
-    """Records below `path`; any Spark reader can read it as plain partitioned Parquet."""
+    """Records below `path`: folders `parts/<name>` and files `manifests/<version>.json`."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
@@ -23,13 +40,20 @@ class RecordTable:
 
     def create(self) -> None:
         """Create the table if it does not exist."""
-        hadoop.make_dir(self.spark, self.path)
+        hadoop.make_dir(self.spark, f"{self.path}/manifests")
+
+    def current(self) -> Version:
+        names = [n for n in hadoop.children(self.spark, f"{self.path}/manifests") if n[:_DIGITS].isdigit() and n[_DIGITS:] == ".json"]
+        if not names:
+            return Version(0, {})
+        newest = max(names)
+        return Version(int(newest[:_DIGITS]), json.loads(hadoop.read_text(self.spark, f"{self.path}/manifests/{newest}")))
 
-    def read(self) -> DataFrame:
-        return self._stored().select(*_COLUMNS)
+    def read(self, version: Version | None = None) -> DataFrame:
+        return self._parts((version or self.current()).parts)
 
     def create_view(self, name: str = "log_records") -> None:
-        """Make the table available to spark.sql."""
+        """Make the table, as it is now, available to spark.sql."""
         self.read().createOrReplaceTempView(name)
 
     def inspect(self, limit: int = 10) -> DataFrame:
@@ -37,59 +61,76 @@ class RecordTable:
         return first_records(self.read(), limit)
 
     def upsert(
-        self, records: DataFrame, unique_ids: bool = False, scope: Column | None = None
+        self, records: DataFrame, unique_ids: bool = False, scope: Column | None = None, new_ids: bool = False
     ) -> int:
         """Insert records, replacing stored ones of the same id; return how many came in.
 
-        Replaced rows stay in their partition, so only partitions that hold a replaced id
-        are rewritten and all others are left alone. If an id comes twice, the later row by
-        (file_path, line_number) counts. `unique_ids` promises that none does: the
-        records are then not staged but go straight into the table. `scope` is
-        a predicate that holds for all stored rows an incoming id can meet, such as one job:
-        it reaches the Parquet scan and skips the other ingests' files.
+        Incoming records are evaluated once, into their part. Parts that hold a replaced id are written again
+        without it, the others stay as they are. If an id comes twice, the later row by (file_path, line_number) counts;
+        `unique_ids` promises that none does. `scope` is a predicate that holds for all stored rows an incoming id can
+        meet, such as one job: it reaches the Parquet scan. `new_ids` promises that no stored id comes again.
         """
         incoming = records.select(*_COLUMNS)
-        if unique_ids:
-            batch = incoming
-        else:
+        came = None
+        if not unique_ids:
             incoming = stage(incoming, "incoming")
-            batch = last_wins(incoming, ["id"], ["file_path", "line_number"]).select(*_COLUMNS)
-        number = self._next_batch()
-        met = self._meet(incoming.select("id"), scope)
-        touched = [row["_home"] for row in met.select("_home").distinct().collect()]  # a row per ingest at most
-        if not touched:
-            self._write(batch.withColumn(BATCH, F.lit(number)), "append")
-            written = self._stored().where(F.col(BATCH) == number)
-            return (written if unique_ids else incoming).count()
-        placed = batch.join(met, "id", "left").withColumn(BATCH, F.coalesce("_home", F.lit(number))).drop("_home")
-        kept = self._stored().where(F.col(BATCH).isin(touched)).join(met.select("id"), "id", "left_anti")
-        # Staged first: the partitions being replaced are also being read.
-        self._write(stage(placed.unionByName(kept), "changed"), "overwrite")
-        return incoming.select("id").count()
-
-    def _meet(self, ids: DataFrame, scope: Column | None) -> DataFrame:
-        """Stored ids among the incoming ones, with the partition each is in; staged."""
-        stored = self._stored()
+            came = incoming.count()
+            incoming = last_wins(incoming, ["id"], ["file_path", "line_number"]).select(*_COLUMNS)
+        part = self._write(incoming)
+        written = self._parts({part: None})
+        if not new_ids:
+            ids = written.select("id")
+        count = written.count()
+        if not count:
+            return 0
+        while True:
+            base = self.current()
+            parts = dict(base.parts) if new_ids else self._without(base, ids, scope)
+            if self._publish(base, {**parts, part: None}):
+                return count if came is None else came
+
+    def replace_load(self, records: DataFrame, key: str) -> int:
+        """Insert records as the load `key`, in place of what an earlier try of the same load wrote; nothing else is read.
+
+        The caller promises that their ids are unique and not stored by other loads.
+        """
+        part = self._write(records.select(*_COLUMNS))
+        while True:
+            base = self.current()
+            others = {name: load for name, load in base.parts.items() if load != key}
+            if self._publish(base, {**others, part: key}):
+                return self._parts({part: key}).count()
+
+    def _without(self, base: Version, ids: DataFrame, scope: Column | None) -> dict[str, str | None]:
+        """The parts of a version with the given ids taken out."""
+        if not base.parts:
+            return {}
+        stored = self._parts(base.parts).withColumn("_part", F.element_at(F.split("_metadata.file_path", "/"), -2))
         candidates = stored if scope is None else stored.where(scope)
-        places = candidates.select("id", F.col(BATCH).alias("_home"))
-        return stage(places.join(ids, "id", "left_semi"), "met")
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        writer = rows.write.mode(mode).partitionBy(BATCH)
-        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
-
-    def _batches(self) -> list[int]:
-        prefix = f"{BATCH}="
-        names = hadoop.children(self.spark, self.path)
-        return [int(name[len(prefix) :]) for name in names if name.startswith(prefix)]
-
-    def _next_batch(self) -> int:
-        return max(self._batches(), default=0) + 1
-
-    def _stored(self) -> DataFrame:
-        if not self._batches():
-            return self.spark.createDataFrame([], _STORED)
-        return self.spark.read.schema(_STORED).parquet(self.path)
+        met = stage(candidates.select("id", "_part").join(ids, "id", "left_semi"), "met")
+        touched = [r["_part"] for r in met.select("_part").distinct().collect()]  # a row per load at most
+        parts = dict(base.parts)
+        for name in touched:
+            gone = met.where(F.col("_part") == name).select("id")
+            load = parts.pop(name)
+            parts[self._write(self._parts({name: load}).join(gone, "id", "left_anti").select(*_COLUMNS))] = load
+        return parts
+
+    def _write(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/parts/{name}")
+        return name
+
+    def _publish(self, base: Version, parts: dict[str, str | None]) -> bool:
+        """Make `parts` the version after `base`; False if that version exists by now."""
+        draft = f"{self.path}/manifests/draft-{uuid.uuid4().hex}"
+        hadoop.write_text(self.spark, draft, json.dumps(parts))
+        return hadoop.publish(self.spark, draft, f"{self.path}/manifests/{base.number + 1:0{_DIGITS}d}.json")
+
+    def _parts(self, parts: dict[str, str | None]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], LOG_RECORD)
+        return self.spark.read.schema(LOG_RECORD).parquet(*(f"{self.path}/parts/{name}" for name in parts))
 
 
 def first_records(records: DataFrame, limit: int = 10) -> DataFrame:

@@ -7,7 +7,6 @@ lost executor costs a re-read instead of a recomputation.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +16,11 @@ ROW_GROUP_BYTES = 16 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local session without one gets its own."""
+    """The folder named by spark.checkpoint.dir, which driver and executors must share."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="linewright-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return configured.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.rules import DEFAULT_RULES, Rule
-from ..plans.ingest import normalized_records, store_records
+from ..plans.ingest import normalized_records
 from ..sources.files import READ_OPTIONS, number_scan, parse_records, split_columns
 from ..sources.record_table import RecordTable
 
@@ -25,15 +25,17 @@ def ingest_arrivals(
 ) -> StreamingQuery:
     """Ingest files new since the last run and stop.
 
-    A file is read whole within one micro-batch, so its lines can be numbered there. Ids are
-    stable: a micro-batch that is run again after a failure replaces its own rows.
+    A file is read whole within one micro-batch, so its lines can be numbered there. A micro-batch
+    that is run again after a failure replaces what it wrote itself, by its number and the checkpoint's name, and reads nothing
+    else of the table. A file counts as known once it was read: lines appended to it later are not ingested, and hidden names are
+    passed over as in any file stream.
     """
     table = RecordTable(spark, table_path)
     table.create()
 
-    def store(lines: DataFrame, _batch: int) -> None:
+    def store(lines: DataFrame, batch: int) -> None:
         records = parse_records(number_scan(lines, root), job_id, **parse_options)
-        store_records(table, normalized_records(records, rules), job_id)
+        table.replace_load(normalized_records(records, rules), f"{checkpoint}#{batch}")
 
     arriving = (
         spark.readStream.format("text")

@@ -13,9 +13,9 @@ from linewright.streaming.arrivals import ingest_arrivals
 
 def record(**changes):
     base = dict(
-        id="r1", timestamp=datetime(2026, 3, 30, 10, 15), source="trainer", host="node03", job_id="run_042", severity="ERROR", component="rdma",
-        raw_text="2026-03-30 10:15:00 ERROR [rdma] link timeout on node03", normalized_text="<INT> ERROR [rdma] link timeout on node03",
-        file_path="/x/trainer_node03.log", line_number=1,
+        id="q7", timestamp=datetime(2031, 11, 2, 4, 5, 6), source="billing", host="rack9", job_id="nightly", severity="ERROR", component="ledger",
+        raw_text="2031-11-02 04:05:06 ERROR [ledger] page 17 unreadable", normalized_text="ERROR [ledger] page <INT> unreadable",
+        file_path="/spool/billing_rack9.log", line_number=1,
     )
     return tuple({**base, **changes}.values())
 
@@ -41,7 +41,7 @@ def test_round_trip(spark, table):
     assert tuple(table.read().first()) == record()
     table.create()
     table.create_view("log_records")
-    assert spark.sql("select host from log_records where severity = 'ERROR'").first()["host"] == "node03"
+    assert spark.sql("select host from log_records where severity = 'ERROR'").first()["host"] == "rack9"
 
 
 def test_upsert_replaces_by_id(spark, table):
@@ -63,19 +63,62 @@ def test_upsert_of_nothing_and_of_repeated_ids(spark, table):
     assert rows(table)["a"]["raw_text"] == "late" and table.read().count() == 2
 
 
-def test_untouched_partitions_are_not_rewritten(spark, table):
+def test_untouched_parts_are_not_rewritten(spark, table):
     table.upsert(frame(spark, record(id="a")))
+    first = set(table.current().parts)
     table.upsert(frame(spark, record(id="b")))
-    before = {r["p"] for r in spark.read.parquet(table.path).select(F.col("_metadata.file_name").alias("p")).where("batch = 1").collect()}
+    second = set(table.current().parts) - first
     table.upsert(frame(spark, record(id="b", raw_text="new"), record(id="c")))
-    after = {r["p"] for r in spark.read.parquet(table.path).select(F.col("_metadata.file_name").alias("p")).where("batch = 1").collect()}
-    assert before == after
+    now = set(table.current().parts)
+    assert first <= now and not second & now
     assert rows(table)["b"]["raw_text"] == "new"
 
 
+def test_interleaved_writers(spark, table, monkeypatch):
+    table.upsert(frame(spark, record(id="a", raw_text="old")))
+    plain, once = RecordTable._publish, []
+
+    def interrupted(self, base, parts):
+        if not once:
+            once.append(True)
+            other = RecordTable(spark, table.path)
+            assert other.upsert(frame(spark, record(id="a", raw_text="other"), record(id="b"))) == 2
+        return plain(self, base, parts)
+
+    monkeypatch.setattr(RecordTable, "_publish", interrupted)
+    assert table.upsert(frame(spark, record(id="a", raw_text="mine"), record(id="c"))) == 2
+    assert sorted((r["id"], r["raw_text"]) for r in table.read().collect() if r["id"] == "a") == [("a", "mine")]
+    assert sorted(r["id"] for r in table.read().collect()) == ["a", "b", "c"]
+
+
+def test_failed_write_and_reader_during_upsert(spark, table, monkeypatch):
+    table.upsert(frame(spark, record(id="a", raw_text="old"), record(id="b")))
+    reader = table.read()
+
+    def broken(self, base, parts):
+        raise OSError("gone")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(RecordTable, "_publish", broken)
+        with pytest.raises(OSError):
+            table.upsert(frame(spark, record(id="a", raw_text="new")))
+    assert rows(table)["a"]["raw_text"] == "old" and table.read().count() == 2
+    table.upsert(frame(spark, record(id="a", raw_text="new")))
+    assert {r["id"]: r["raw_text"] for r in reader.collect()}["a"] == "old"
+    assert rows(table)["a"]["raw_text"] == "new"
+
+
+def test_loads_replace_only_themselves(spark, table, monkeypatch):
+    table.replace_load(frame(spark, record(id="a")), "s#0")
+    table.replace_load(frame(spark, record(id="b")), "s#1")
+    monkeypatch.setattr(RecordTable, "_without", None)
+    assert table.replace_load(frame(spark, record(id="b"), record(id="c")), "s#1") == 2
+    assert sorted(r["id"] for r in table.read().collect()) == ["a", "b", "c"]
+
+
 def test_scope_reaches_the_scan(spark, table):
     table.upsert(frame(spark, record(id="a", job_id="one")))
-    plan = table._stored().where(F.col("job_id").eqNullSafe("one")).select("id")._jdf.queryExecution().executedPlan().toString()
+    plan = table.read().where(F.col("job_id").eqNullSafe("one")).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [EqualNullSafe(job_id,one)]" in plan and "ReadSchema: struct<id:string,job_id:string>" in plan
 
 
@@ -111,6 +154,32 @@ def test_ingest_twice(spark, tmp_path):
     assert RecordTable(spark, path).read().count() == 6
 
 
+def test_hidden_names(spark, tmp_path):
+    root, path = write_files(tmp_path / "logs", {**LOGS, "_old/a.log": "one\n", ".cache/_deep/d.log": "two\n", "sub/_k=1.log": "three\n"}), str(tmp_path / "t")
+    assert ingest(spark, root, path, "j").files_processed == 6
+    assert {"one", "two", "three"} <= {r["raw_text"] for r in RecordTable(spark, path).read().collect()}
+    write_files(tmp_path / "logs", {"_b.log": "lost\n", "sub/.c.txt": "lost\n"})
+    with pytest.raises(ValueError, match="2 log files"):
+        ingest(spark, root, path, "j")
+    summary = ingest(spark, root, path, "j", on_hidden="skip")
+    assert (summary.files_processed, summary.files_skipped, summary.records_written) == (6, 2, 5)
+
+
+def test_files_that_arrive_during_an_ingest_are_not_counted(spark, tmp_path, monkeypatch):
+    from linewright.sources import files as module
+
+    root, path = write_files(tmp_path / "logs", LOGS), str(tmp_path / "t")
+    plain = module.numbered
+
+    def late(scan, where):
+        write_files(tmp_path / "logs", {"late.log": "late\n"})
+        return plain(scan, where)
+
+    monkeypatch.setattr(module, "numbered", late)
+    summary = ingest(spark, root, path, "j")
+    assert (summary.files_processed, summary.records_written) == (3, 2)
+
+
 def test_ingest_of_nothing(spark, tmp_path):
     summary = ingest(spark, str(tmp_path / "absent"), str(tmp_path / "table"))
     assert (summary.files_processed, summary.log_lines_ingested, summary.records_written) == (0, 0, 0)
