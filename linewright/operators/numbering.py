@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,6 +10,8 @@ from ..staging import stage
 
 # monotonically_increasing_id() puts the partition above this many low bits.
 _POSITION_BITS = 33
+# Splits whose offsets are broadcast: three integers each.
+MAX_SPLITS = 4_000_000
 # Ranks are taken within buckets of this many consecutive first indexes.
 _BUCKET_BITS = 18
 
@@ -19,34 +21,55 @@ def _before(window) -> Column:
     return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def physical_line_numbers(staged: DataFrame, file_columns: Mapping[str, Column]) -> DataFrame:
-    """Number the lines of each file from 1, given (uri, block_start, pos) of a staged scan.
+def _meets_all(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Join rows with a staged table of a few integers per file split, and whether the rows stayed where they were.
+
+    The table is counted first: up to MAX_SPLITS rows it is broadcast, beyond that the rows are shuffled.
+    """
+    near = table.count() <= MAX_SPLITS
+    return rows.join(F.broadcast(table) if near else table, list(keys)), near
+
+
+def physical_line_numbers(staged: DataFrame) -> tuple[DataFrame, bool]:
+    """Number the lines of each file from 1, given (uri, block_start, pos) of a staged scan; and whether no line moved.
 
     Within one file split `pos` rises by one per line, so a line's number is the lines of
     the file's earlier splits plus its distance from the first line of its own split. Only
-    one row per split is aggregated and sorted. That table is staged so that the join sees
-    its true size: small ones are broadcast by the planner, larger ones are hash-joined on
-    (uri, block_start), whose groups are no larger than one file split.
-
-    `file_columns` are derived from `uri` once per split instead of once per line.
+    one row per split is aggregated and sorted; what the lines need of it are two integers and a task number.
     """
-    splits = staged.groupBy("uri", "block_start").agg(
-        F.count("*").alias("n"), F.min("pos").alias("first_pos")
-    )
+    part = F.shiftright("pos", _POSITION_BITS).cast("int").alias("_part")
+    # Splits read by one task are told apart by a hash.
+    split = F.xxhash64("uri", "block_start").alias("_split")
+    splits = staged.groupBy("uri", "block_start", part).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     by_file = Window.partitionBy("uri").orderBy("block_start")
-    offsets = splits.select(
-        "uri",
-        "block_start",
-        (_before(by_file) - F.col("first_pos") + 1).alias("shift"),
-        *[column.alias(name) for name, column in file_columns.items()],
+    offsets = splits.select(split, "_part", (_before(by_file) - F.col("first_pos") + 1).alias("_shift"))
+    numbered, in_order = _meets_all(staged.select("*", split, part), stage(offsets, "splits"), ["_split", "_part"])
+    return numbered.withColumn("line_number", F.col("pos") + F.col("_shift")).drop("_split", "_part", "_shift", "pos"), in_order
+
+
+def index_in_place(
+    rows: DataFrame, split: Sequence[str], first: Column, order: Sequence[Column], name: str = "index"
+) -> DataFrame:
+    """Number all rows 1..n, given rows that stand in order within each split; the rows are staged once and never sorted.
+
+    `split` names the columns that tell file splits apart. `first` is an aggregate over the rows of a split that one task
+    read, `order` the order of splits by those columns and `first`.
+    """
+    placed = stage(rows.withColumn("_position", F.monotonically_increasing_id()), "placed").withColumn(
+        "_part", F.shiftright("_position", _POSITION_BITS).cast("int")
     )
-    return staged.join(stage(offsets, "splits"), ["uri", "block_start"]).withColumn(
-        "line_number", F.col("pos") + F.col("shift")
+    key = F.xxhash64(*split).alias("_split")
+    runs = placed.groupBy(*split, "_part").agg(
+        F.count("*").alias("n"), F.min("_position").alias("_first_position"), first.alias("first")
     )
+    shift = (_before(Window.orderBy(*order)) - F.col("_first_position") + 1).alias("_shift")
+    offsets = stage(runs.select(key, "_part", shift), "runs")
+    met, _ = _meets_all(placed.select("*", key), offsets, ["_split", "_part"])
+    return met.withColumn(name, F.col("_position") + F.col("_shift")).drop("_split", "_part", "_shift", "_position")
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
-    """Number all rows 1..n in a total order.
+    """Number all rows 1..n in a total order, wherever they stand.
 
     Rows are range-partitioned, sorted inside each partition and staged with their position;
     the index is that position plus the size of the earlier partitions. The broadcast table

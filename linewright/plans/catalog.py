@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +15,6 @@ from ..functions.rules import Rule, rule_named
 from ..functions.signature import token_signature
 from ..operators import errors, grouping, metrics
 from ..operators.labels import join_predictions, label_by_file_line, label_by_index, last_wins
-from ..operators.numbering import dense_index
 from ..sources import corpus, datasets, files
 from ..sources.record_table import RecordTable, first_records
 from ..staging import new_path, stage
@@ -112,9 +113,7 @@ def document_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_local(spark: SparkSession, d: str) -> DataFrame:
-    """Lines numbered without blanks, labels in label-file form with several per line."""
-    lines = corpus.event_lines(spark, d).where(text.not_blank(F.col("value")))
-    indexed = dense_index(lines.select("event_id", F.col("value").alias("raw_text")), ["event_id"])
+    """Lines numbered without blanks, labels in label-file form with several per line, through the loader."""
     labels = corpus.event_labels(spark, d).select(
         F.col("index"),
         F.explode(F.when(F.col("index") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("position"),
@@ -122,19 +121,17 @@ def eval_local(spark: SparkSession, d: str) -> DataFrame:
         F.col("expected_template"),
     )
     versions = labels.withColumn("expected_group_id", F.concat_ws("#", "expected_group_id", "position"))
-    labelled = label_by_index(indexed, last_wins(versions, ["index"], ["position"]))
-    return labelled.select("index", "raw_text", "expected_group_id", "expected_template")
+    last = last_wins(versions, ["index"], ["position"])
+    loaded = datasets.load_labelled(spark, corpus.write_line_set(spark, d), "local", last)
+    return loaded.records.select("index", "raw_text", "expected_group_id", "expected_template")
 
 
 def eval_synthetic(spark: SparkSession, d: str) -> DataFrame:
-    """Records numbered over all files in path order, labelled by (file, line number)."""
-    relative = F.substring("file_path", len("/logs/") + 1, 2**31 - 1)
-    records = datasets.index_tree(_records(spark, d).withColumn("relative_path", relative))
-    labels = corpus.event_labels(spark, d).withColumn("file", F.substring("file", len("/logs/") + 1, 2**31 - 1))
-    labelled = label_by_file_line(records.withColumnRenamed("relative_path", "file"), labels)
-    return labelled.select(
-        "index", "raw_text", "source", "host", "file_path", "line_number", "expected_template", "expected_group_id"
-    )
+    """Records numbered over all files in path order, labelled by (file, line number), through the loader."""
+    root = corpus.write_log_tree(spark, d)
+    loaded = datasets.load_labelled(spark, root, "synthetic", corpus.tree_labels(spark, d, root))
+    log = F.regexp_extract("file_path", "/log=([^/]+)/", 1)
+    return loaded.records.select("index", "raw_text", log.alias("log"), "line_number", "expected_template", "expected_group_id")
 
 
 def strip_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -313,6 +310,19 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([row], schema)
 
 
+def stored_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluate the event lines, write all result tables, and count what reads back."""
+    lines = datasets.LabelledLines("events", "synthetic", d, corpus.labelled_events(spark, d))
+    folder = new_path(spark, "reports")
+    evaluate.evaluate(lines, now=datetime(2030, 1, 2, 3, 4, 5)).write(folder)
+    counted = None
+    for field in fields(evaluate.Evaluation):
+        table = spark.read.parquet(f"{folder}/{field.name}")
+        one = table.groupBy("run_id").agg(F.count("*").alias("rows")).select(F.lit(field.name).alias("result_table"), "run_id", "rows")
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
+
+
 def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
     scored = evaluate.score_inputs(evaluate.normalized_lines(corpus.labelled_events(spark, d)))
     return evaluate.summarize(scored.lines, scored.cells)
@@ -368,4 +378,5 @@ QUERIES: dict[str, Query] = {
     "inspect_records": inspect_records,
     "ingest_summary": ingest_summary,
     "benchmark_summary": benchmark_summary,
+    "stored_evaluation": stored_evaluation,
 }

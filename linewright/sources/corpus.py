@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text
 from ..staging import new_path
+from . import hadoop
 
 # One column expression per line part; see the README for the shape of a line.
 _TIME = """case event_id % 5
@@ -115,6 +116,26 @@ def write_log_tree(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def write_line_set(spark: SparkSession, sf_dir: str) -> str:
+    """Write the event lines in order as a labelled set of one line file (a folder of parts); return its folder."""
+    root = new_path(spark, "line-set")
+    lines = event_lines(spark, sf_dir).select("event_id", "value")
+    ordered = lines.repartitionByRange("event_id").sortWithinPartitions("event_id")
+    ordered.select("value").write.text(f"{root}/logs.txt")
+    return root
+
+
+def tree_labels(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Labels of a written log tree by (relative path, physical line number)."""
+    below = [(path.split("/")[0].removeprefix("log="), path) for path in hadoop.files_below(spark, root) if path.endswith(".txt")]
+    paths = spark.createDataFrame(below, "log string, file string")  # a row per log
+    labels = _read(spark, sf_dir, "events").selectExpr(
+        "event_id", f"{_TREE_FILE} as log", f"{_LABEL} as expected_group_id", f"{_EXPECTED} as expected_template"
+    )
+    number = F.row_number().over(Window.partitionBy("log").orderBy("event_id"))
+    return labels.withColumn("line_number", number).join(paths, "log").drop("event_id", "log")
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every physical line of every document: (doc_id, file_path, line_number, value)."""
     documents = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..functions import text
 from ..operators.labels import label_by_file_line, label_by_index, last_wins
-from ..operators.numbering import dense_index
+from ..operators.numbering import dense_index, index_in_place
 from . import files, hadoop
 
 # File names of the two layouts.
@@ -79,19 +79,23 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[str | None, DataFrame
 
 
 def load_line_file(spark: SparkSession, path: str, labels: DataFrame | None = None) -> LabelledLines:
-    """One text file whose non-blank lines are numbered from 1 and labelled by that number."""
+    """A text file whose non-blank lines are numbered from 1 and labelled by that number.
+
+    `logs.txt` may also be a folder of text files, taken in order of their names.
+    """
     name = None
     if labels is None:
         name, labels = read_line_labels(spark, f"{path}/{LABELS_FILE}")
     lines = spark.read.text(f"{path}/{LINES_FILE}").select(
+        F.col("_metadata.file_path").alias("uri"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("pos"),
         text.decode_strict(F.col("value")).alias("value"),
     )
     pieces = lines.select(
-        "block_start", "pos", F.posexplode(F.split("value", text.EXTRA_LINE_BREAKS)).alias("piece", "raw_text")
+        "uri", "block_start", F.explode(F.split("value", text.EXTRA_LINE_BREAKS)).alias("raw_text")
     ).where(text.not_blank(F.col("raw_text")))
-    indexed = dense_index(pieces, ["block_start", "pos", "piece"])
+    order = [F.split("uri", "/"), F.col("first")]
+    indexed = index_in_place(pieces, ["uri", "block_start"], F.min("block_start"), order)
     missing = [F.lit(None).cast(kind).alias(column) for column, kind in _FILE_COLUMNS]
     records = label_by_index(indexed.select("index", "raw_text", *missing), labels)
     return LabelledLines(name or hadoop.base_name(path), "local", path, _eval_columns(records))
@@ -106,7 +110,7 @@ def load_log_tree(spark: SparkSession, path: str, labels: DataFrame | None = Non
     manifest = f"{path}/{MANIFEST_FILE}"
     if labels is None and hadoop.exists(spark, manifest):
         name, labels = read_manifest(spark, manifest)
-    records = index_tree(files.load_records(spark, path))
+    records = _indexed_tree(spark, path)
     if labels is None:
         empty = [F.lit(None).cast("string").alias(c) for c in ("expected_template", "expected_group_id")]
         records = records.select("*", *empty)
@@ -115,10 +119,17 @@ def load_log_tree(spark: SparkSession, path: str, labels: DataFrame | None = Non
     return LabelledLines(name or hadoop.base_name(path), "synthetic", path, _eval_columns(records))
 
 
-def index_tree(records: DataFrame) -> DataFrame:
-    """Number records from 1 over all files, files ordered by their path components."""
-    parts = records.withColumn("_parts", F.split("relative_path", "/"))
-    return dense_index(parts, ["_parts", "line_number"]).drop("_parts")
+def _indexed_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a log tree numbered from 1 over all files, files ordered by their path components."""
+    scan = files.open_scan(spark, path)
+    if scan.lines is None:
+        return files.load_records(spark, path).withColumn("index", F.lit(None).cast("bigint"))
+    lines, in_order = files.place_scan(scan.lines.select("value", *files.split_columns()), path)
+    records = files.parse_records(lines)
+    parts = F.split("relative_path", "/")
+    if in_order:
+        return index_in_place(records, ["relative_path", "block_start"], F.min("line_number"), [parts, F.col("first")])
+    return dense_index(records.withColumn("_parts", parts), ["_parts", "line_number"]).drop("_parts")
 
 
 def _eval_columns(records: DataFrame) -> DataFrame:

@@ -107,6 +107,11 @@ def split_columns() -> list[Column]:
 
 def number_scan(lines: DataFrame, root: str) -> DataFrame:
     """Line numbers and paths for a text scan with `split_columns()`, rows in scan order."""
+    return place_scan(lines, root)[0].select(*T.StructType.fromDDL(_LINE_SCHEMA).fieldNames())
+
+
+def place_scan(lines: DataFrame, root: str) -> tuple[DataFrame, bool]:
+    """As number_scan with `block_start`, and whether the lines still stand in the order of their splits."""
     spark = lines.sparkSession
     staged = stage(
         lines.select(
@@ -117,17 +122,12 @@ def number_scan(lines: DataFrame, root: str) -> DataFrame:
         ),
         "lines",
     )
+    numbered, in_order = physical_line_numbers(staged)
     path = given_path(spark, F.col("uri"), root)
-    numbered = physical_line_numbers(
-        staged,
-        file_columns={
-            "file_path": path,
-            "relative_path": relative_path(spark, F.col("uri"), root),
-            "source": parse.source_of(path),
-            "host": parse.host_of(path),
-        },
+    named = numbered.select(
+        path.alias("file_path"), relative_path(spark, F.col("uri"), root).alias("relative_path"), "block_start", "line_number", "value"
     )
-    return numbered.select(*T.StructType.fromDDL(_LINE_SCHEMA).fieldNames())
+    return named.withColumns({"source": parse.source_of(F.col("file_path")), "host": parse.host_of(F.col("file_path"))}), in_order
 
 
 def parse_records(

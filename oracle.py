@@ -243,11 +243,10 @@ lab as (select event_id + 1 as index, case when expected_group_id is null then c
   expected_template from ev)
 select index, raw_text, lab.expected_group_id, lab.expected_template from kept left join lab using (index)""",
     "eval_synthetic": f"""with {_EV},
-lab as ({_LABELS})
-select row_number() over (order by string_split(tx.file_path, '/'), tx.line_number) as index, raw_text,
-  {_SOURCE.replace('file_path', 'tx.file_path')} as source, {_HOST.replace('file_path', 'tx.file_path')} as host,
-  tx.file_path, tx.line_number, lab.expected_template, lab.expected_group_id
-from tx left join lab on lab.file = tx.file_path and lab.line_number = tx.line_number""",
+placed as (select *, row_number() over (partition by log order by event_id) as number from ev),
+kept as (select * from placed where trim(value, ' ' || chr(9)) <> '')
+select row_number() over (order by 'log=' || log, number) as index, trim(value, ' ' || chr(9)) as raw_text, log, number as line_number,
+  expected_template, expected_group_id from kept""",
     "strip_lines": f"with {_EV} select event_id, raw_text from tx",
     "strip_document_lines": f"with {_DOC_LINES} select doc_id, line_number, raw_text from dx",
     "parse_timestamp": f"with {_EV} select event_id, {_TIMESTAMP} as timestamp from tx",
@@ -326,3 +325,18 @@ select method, total_lines, changed_lines, changed_lines / total_lines * 100.0 a
   cast(split as decimal(38,0)) as over_splitting_pairs, cast(merged as decimal(38,0)) as over_merging_pairs
 from tm join pm using (method) cross join nm""",
 }
+
+_STORED = {
+    "summary": "benchmark_summary",
+    "rule_counts": "rule_counts",
+    "changed_examples": "changed_examples",
+    "template_mismatches": "template_mismatches",
+    "false_splits": "false_splits",
+    "false_merges": "false_merges",
+    "failure_patterns": "failure_patterns",
+    "predictions": "group_all_methods",
+}
+ORACLE["stored_evaluation"] = " union all ".join(
+    f"select '{table}' as result_table, '20300102T030405Z_events' as run_id, count(*) as rows from ({ORACLE[query]})"
+    for table, query in _STORED.items()
+)
