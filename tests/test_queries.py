@@ -47,24 +47,58 @@ def test_entry(spark):
     assert contract.entry(spark).count() == 20
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_document_queries_against_python(spark, name):
+@pytest.fixture(scope="module")
+def normalized_documents(spark):
+    """Every stripped document line through Python's own engine: (file, number) -> (raw, normalized, hits per rule)."""
     import re
-    from collections import Counter
 
     from linewright.functions.rules import DEFAULT_RULES
 
-    rows = contract.queries()[name](spark, FOLDER).collect()
     expected = {}
     for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
         for number, line in enumerate(re.split("\r\n|\r|\n", r["text"]), 1):
-            line = line.strip()
+            raw = text = line.strip()
+            hits = {}
             for rule in DEFAULT_RULES:
-                line = re.sub(rule.pattern, rule.replacement, line)
-            if line:
-                expected[f"/docs/{r['source']}-doc{r['doc_id']}.txt", number] = line
-    if name == "normalize_documents":
-        assert {(r["file_path"], r["line_number"]): r["normalized_text"] for r in rows} == expected
-    else:
-        assert sum(r["lines"] for r in rows) == len(expected)
-        assert max(r["lines"] for r in rows) >= max(Counter(expected.values()).values())
+                text, n = re.subn(rule.pattern, rule.replacement, text)
+                if n:
+                    hits[rule.name] = n
+            if raw:
+                expected[f"/docs/{r['source']}-doc{r['doc_id']}.txt", number] = (raw, text, hits)
+    return expected
+
+
+def test_normalize_documents(spark, normalized_documents):
+    import json
+
+    rows = contract.queries()["normalize_documents"](spark, FOLDER).collect()
+    got = {(r["file_path"], r["line_number"]): (r["normalized_text"], r["changed"], json.loads(r["replacement_counts"])) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {k: (text, text != raw, hits) for k, (raw, text, hits) in normalized_documents.items()}
+
+
+def signature(text):
+    """Token signature in plain Python."""
+    severities = {"DEBUG", "INFO", "WARN", "WARNING", "ERROR", "CRITICAL", "FATAL"}
+
+    def one(token):
+        bare = token.strip(",;")
+        if bare.startswith("<") and bare.endswith(">"):
+            return bare
+        if bare.startswith("[") and bare.endswith("]"):
+            return bare.lower()
+        if bare.upper() in severities:
+            return bare.upper()
+        return "<VAR>" if any(c.isdigit() for c in bare) else bare.lower()
+
+    return " ".join(map(one, text.split()))
+
+
+def test_document_templates(spark, normalized_documents):
+    rows = contract.queries()["document_templates"](spark, FOLDER).collect()
+    expected = {}
+    for place, (_, text, _) in normalized_documents.items():
+        lines, first = expected.get(signature(text), (0, place))
+        expected[signature(text)] = lines + 1, min(first, place)
+    assert {r["template"]: (r["lines"], (r["first_file"], r["first_line"])) for r in rows} == expected
+    assert len(rows) == len(expected)
