@@ -102,3 +102,11 @@ def test_record_ids(spark):
     assert all(re.fullmatch(r"[0-9a-f-]{36}", i) for i in ids("j", "random"))
     with pytest.raises(ValueError):
         ids("j", "other")
+
+
+def test_digits_of_other_scripts_and_year_zero(texts):
+    df = texts("٢٠٣١-٠٥-٠٦ ٠٧:٠٨:٠٩ x", "2031-05-0६ 07:08:09 x", "Mar ٣٠ 10:15:10 é", "0000-01-01 00:00:00 x", "0000-01-01T00:00:00Z", "0001-01-01 00:00:00")
+    out = [r["t"] for r in df.select("index", parse.timestamp(F.col("raw_text"), 2031).alias("t")).orderBy("index").collect()]
+    assert out == [datetime(2031, 5, 6, 7, 8, 9)] * 2 + [datetime(2031, 3, 30, 10, 15, 10), None, None, datetime(1, 1, 1)]
+    with pytest.raises(Exception, match="no such year"):
+        texts("0000-01-01 00:00:00 x").select(parse.timestamp(F.col("raw_text"), 2031, "fail")).collect()

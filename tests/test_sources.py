@@ -17,10 +17,10 @@ def scanned(spark, root):
 
 def test_discovery(spark, tmp_path):
     root = write_files(tmp_path, {
-        "trainer_node03.log": "line one\n", "nested/scheduler_node01.txt": "line two\n", "nested/ignore.json": "{}",
-        "B.LOG": "x\n", "deep/k=v/c d+e%f.TxT": "y\n", "empty.log": "", "log": "no suffix\n",
+        "zeta_rack4.log": "alpha\n", "inner/mill_host2.txt": "beta\n", "inner/notes.csv": "1,2", "B.LOG": "x\n",
+        "deep/k=v/c d+e%f.TxT": "y\n", "empty.log": "", "log": "no suffix\n", "_kept/in.log": "z\n",
     })
-    names = ["B.LOG", "deep/k=v/c d+e%f.TxT", "empty.log", "nested/scheduler_node01.txt", "trainer_node03.log"]
+    names = ["B.LOG", "_kept/in.log", "deep/k=v/c d+e%f.TxT", "empty.log", "inner/mill_host2.txt", "zeta_rack4.log"]
     assert files.discover(spark, root) == [f"{root}/{n}" for n in names]
     assert {path for path, _, _ in scanned(spark, root)} == set(names) - {"empty.log"}
 
