@@ -41,7 +41,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         .select("h1", "h2", "first"),
         "repeated",
     )
-    later = windows.join(repeated, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
+    later = windows.join(repeated.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
     # Through a table, so that the join stands alone and its frequent keys can be split.
     return stage(later.select("doc_id", "start"), "later").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
@@ -58,7 +58,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     kept_names = docs.columns
     starts = repeated_starts(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "__id", "starts": "__starts"})
-    joined = docs.join(starts, docs["doc_id"] == starts["__id"], "left").drop("__id")
+    # Both joined tables grow with the corpus, so neither is broadcast at any size.
+    joined = docs.join(starts.hint("merge"), docs["doc_id"] == starts["__id"], "left").drop("__id")
     lines = F.split("text", "\n", -1)
     worded = joined.withColumn("__places", F.when(F.col("text").isNotNull(), _lines(F.col("text"))["place"]))
     covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.slice("__places", s + 1, F.lit(WINDOW)))))
