@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import prepare
 from ..staging import stage
 from . import bpe
 from .line_dedup import dedup_lines
@@ -40,7 +41,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of rows that share an id one stays; rows without an id all stay.
     """
     kept = near_duplicates(docs, width=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
@@ -58,12 +59,21 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return checked.select(*named, F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "round_trip")
 
 
+def _prepared(apply: Stage) -> Stage:
+    """The stage on a session with the library's settings, small Arrow batches among them."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return apply(prepare(spark), docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_classifier", good_documents),
-    ("line_dedup", without_repeated_lines),
-    ("near_dedup", one_of_each_group),
-    ("mixing", in_training_order),
-    ("bpe", encoded),
+    ("quality_classifier", _prepared(good_documents)),
+    ("line_dedup", _prepared(without_repeated_lines)),
+    ("near_dedup", _prepared(one_of_each_group)),
+    ("mixing", _prepared(in_training_order)),
+    ("bpe", _prepared(encoded)),
 ]
 # The classifier and the tokenizer have no SQL form.
 ORACLE_SQL: str | None = None

@@ -72,9 +72,12 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
         return out
     n = sizes[full].astype(float)
     owner = _owners(bounds)
-    out[full, :DIMS] = np.add.reduceat(vectors[ids], bounds[full], axis=0, dtype=np.float64) / n[:, None]
-    # Share of equal pairs among all pairs of tokens, and among neighbours.
+    # Each bucket once per text, so that a very long text takes no more than a vector per bucket.
     keys, counts = np.unique(owner * BUCKETS + ids, return_counts=True)
+    weighed = vectors[keys % BUCKETS] * counts[:, None]
+    firsts = np.flatnonzero(np.diff(keys // BUCKETS, prepend=-1))
+    out[full, :DIMS] = np.add.reduceat(weighed, firsts, axis=0) / n[:, None]
+    # Share of equal pairs among all pairs of tokens, and among neighbours.
     squares = np.bincount(keys // BUCKETS, counts.astype(float) ** 2, len(texts))[full]
     out[full, DIMS] = squares / n**2
     out[full, DIMS + 1] = np.log1p(n) / 10

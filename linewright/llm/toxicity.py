@@ -30,6 +30,8 @@ EXCEPTIONS = (
 )
 PER_CLASS = 4000
 MIN_STEM, MAX_STEM = 4, 10
+# Stems that the driver weighs, the most frequent in toxic texts first; significance asks for far more than the least of them has.
+LEXICON_CANDIDATES = 20000
 _END = "$"
 
 # Letters of other scripts that look Latin, digits in place of letters; i, l and 1 are one.
@@ -238,7 +240,7 @@ def score_toxicity(
             F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
         )
         # At most the stems of the bounded sample come back, and of those only the telling ones.
-        telling = tried.where("(toxic >= 3 and toxic >= 9 * clean)").orderBy(F.desc("toxic"), "stem").limit(20000)
+        telling = tried.where("(toxic >= 3 and toxic >= 9 * clean)").orderBy(F.desc("toxic"), "stem").limit(LEXICON_CANDIDATES)
         seeds = tried.where(F.col("stem").isin(*map(_skeleton_end, SEED)))
         rows = {r["stem"]: (r["stem"], r["toxic"], r["clean"]) for r in telling.unionByName(seeds).collect()}
         weights = choose(list(rows.values()), toxic, clean, 1_000_000)
