@@ -32,7 +32,7 @@ def _number(digest: Column) -> Column:
 
 def random_ip(digest: Column, _found: Column) -> Column:
     span = OCTET_HIGH - OCTET_LOW + 1
-    # Each octet from its own bits of one number.
+    # Octets from overlapping bits of one number.
     octets = [F.shiftright(_number(digest), 12 * i) % span + OCTET_LOW for i in range(4)]
     return F.concat_ws(".", *[octet.cast("string") for octet in octets])
 
