@@ -7,26 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from ..staging import stage
 
 
-def _closed(links: DataFrame) -> DataFrame:
-    """Each link in both directions and a link from each node to itself."""
-    both = F.explode(
-        F.array(
-            F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
-            F.struct(F.col("b").alias("u"), F.col("a").alias("v")),
-            F.struct(F.col("a").alias("u"), F.col("a").alias("v")),
-            F.struct(F.col("b").alias("u"), F.col("b").alias("v")),
-        )
-    )
-    return links.select(both.alias("x")).select("x.u", "x.v")
+def _least(links: DataFrame) -> DataFrame:
+    """(u, least): the least smaller neighbour of every node that has one; a table, so that joins with it can be split."""
+    return stage(links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("least")), "least")
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Hang the larger neighbours of every node on the least of its neighbours and itself."""
+    met = links.join(_least(links).hint("merge"), F.col("b") == F.col("u"), "left")
+    return stage(met.select("a", F.coalesce("least", "b").alias("b")).distinct(), "star")
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Hang the neighbours of every node on the least one: the larger neighbours, or the others."""
-    closed = _closed(links)
-    least = closed.groupBy("u").agg(F.min("v").alias("least"))
-    side = F.col("v") > F.col("u") if large else F.col("v") <= F.col("u")
-    moved = closed.where(side).join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("least").alias("b"))
-    return moved.where("a <> b").distinct()
+def _small_star(links: DataFrame) -> DataFrame:
+    """Hang every node and its smaller neighbours on the least of them."""
+    least = _least(links)
+    met = links.join(least.hint("merge"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    own = least.select(F.col("u").alias("a"), F.col("least").alias("b"))
+    return stage(met.where("a <> b").unionByName(own).distinct(), "star")
 
 
 def _state(links: DataFrame) -> tuple:
@@ -37,9 +34,9 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over the links (a, b), for every node that has one.
 
-    Links of a node with itself give nothing. Each round is two joins on the node, in which every node
-    meets one row, its least neighbour; the number of links never grows, and the number of rounds grows with the
-    logarithm of a component's size.
+    Links of a node with itself give nothing. Links are kept with a > b, so a node's least neighbour is its least b. Each
+    round is two joins on the node, in which every link meets one row; the number of links
+    never grows, and the number of rounds grows with the logarithm of a component's size.
     """
     links = stage(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"
@@ -47,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     now = _state(links)
     while now != before and now[0]:
-        links = stage(_star(_star(links, True), False), "star")
+        links = _small_star(_large_star(links))
         before, now = now, _state(links)
     pairs = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -52,9 +52,15 @@ def targets(sized: DataFrame, weights: Sequence[float], share: float, max_epochs
     )
 
 
+def _order(doc_id: Column, seed: int) -> Column:
+    """60 bits of a digest of seed and id: a fixed random order that other engines can follow."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def _bucket(order: Column) -> Column:
-    """The leading bits of a 64-bit order value, from 0."""
-    return F.shiftright(order, 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))
+    """The leading bits of an order value."""
+    return F.shiftright(order, 60 - BUCKET_BITS)
 
 
 def _position(fraction: Column, start: Column, end: Column) -> Column:
@@ -80,7 +86,7 @@ def mix(
     and seed, so reruns agree; rows alike in doc_id, source and size are interchangeable. Other columns are
     ignored. An empty table gives no rows, and sources without words a target of 0.
     """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    order = _order(F.col("doc_id"), seed)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     sized = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), order.alias("order")), "sized")
     per_source = targets(sized, weights, share, max_epochs)
@@ -144,5 +150,28 @@ def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("__id"), F.explode("positions").alias("__position")),
         "places",
     )
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(places["__id"]))
+    joined = docs.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places["__id"]))
     return joined.orderBy("__position", "__id").drop("__position", "__id")
+
+
+ORACLE = """
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+                  ('0x' || substr(md5('0:' || doc_id), 1, 15))::bigint as place from documents),
+z as (select source, sum(size)::bigint as source_size from d group by source),
+r as (select *, row_number() over (order by source nulls last) - 1 as rank from z),
+w as (select *, [3.0::double, 1.0::double, 2.0::double][rank % 3 + 1] as weight, source_size * 2.0::double as cap,
+             [1.5::double, 1.0::double, 0.5::double][rank % 3 + 1] as a, [0.5::double, 1.0::double, 1.5::double][rank % 3 + 1] as b from r),
+l as (select *, ((sum(source_size) over ())::double * 1.5::double - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0))
+             / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as level from w),
+f as (select *, level * weight >= cap as capped from l),
+t as (select *, case when capped then cap else least(cap, weight * (select arg_min(level, (cap / weight, rank)) from f where not capped)) end as target from f),
+o as (select d.*, source_size, target, a, b,
+             coalesce(sum(size) over (partition by d.source order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+      from d join t on t.source is not distinct from d.source),
+c as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from o),
+k as (select *, case when size > 0 then least(whole + (before + size / 2 <= target - whole * source_size)::bigint, 2) else least(whole, 1) end as copies from c),
+p as (select *, least((before + size / 2) / target, 1.0::double) as reached from k)
+select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies::int as copies,
+       case when copies > 0 then case when a = b then reached else (sqrt(a * a + 2 * (b - a) * (reached * (a + b) / 2)) - a) / (b - a) end end as first_position
+from p
+"""

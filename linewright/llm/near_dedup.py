@@ -9,7 +9,7 @@ Plan: documents with equal sets become one class (group by a 128-bit digest). Th
 representatives form buckets. Every document of a bucket asks to be compared with the bucket's least
 member; all who ask for the same one are compared with each other in blocks of bounded size. Only a bucket that
 was split over several blocks and still holds several components needs more: its members outside the
-largest component are compared with all its members, again in blocks. A block emits a spanning forest of its links,
+largest component are compared with all its members, again in blocks. A block emits one star per part that its links connect,
 never its pairs.
 """
 
@@ -105,7 +105,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def forest(ids: list[int], sets: list[np.ndarray], queries: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what the links of the queries (positions) with all sets connect."""
+    """Stars that connect what the links of the queries (positions) with all sets connect: each id and the least of its part."""
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -117,13 +117,14 @@ def forest(ids: list[int], sets: list[np.ndarray], queries: list[int], percent:
     sizes = np.array([len(s) for s in sets])
     both = shared_counts([sets[q] for q in queries], sets)
     union = sizes[queries][:, None] + sizes[None, :] - both
-    links = []
     for i, j in zip(*np.nonzero(100 * both >= percent * union)):
         a, b = root(queries[i]), root(int(j))
-        if a != b:
+        # The part of the least id stays the root.
+        if ids[a] < ids[b]:
+            parent[b] = a
+        elif a != b:
             parent[a] = b
-            links.append((ids[queries[i]], ids[int(j)]))
-    return links
+    return [(ids[i], ids[root(i)]) for i in range(len(ids)) if root(i) != i]
 
 
 def _compare(percent: int):
@@ -174,10 +175,11 @@ def _salts(docs: str = "docs", shingles: str = "shingles"):
 
 
 def _across_blocks(asked: DataFrame, wide: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside the buckets whose least member has more partners than one block takes."""
+    """Links in blocks and, inside the buckets whose least member has more partners than one block takes, between blocks."""
+    labels = stage(components(first), "labels")
     members = asked.join(_grows(wide), "center", "left_semi")
     parts = stage(
-        members.join(_grows(components(first)), F.col("doc_id") == F.col("node"), "left").select(
+        members.join(_grows(labels), F.col("doc_id") == F.col("node"), "left").select(
             "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
         ),
         "parts",
@@ -211,7 +213,7 @@ def _across_blocks(asked: DataFrame, wide: DataFrame, first: DataFrame, sets: Da
         "doc_id", "band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"), F.lit(False).alias("is_query")
     )
     blocks = asking.unionByName(answering).select(F.struct("band", "row", "column").alias("block"), "doc_id", "is_query")
-    return _links(blocks, sets, percent)
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_links(blocks, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -254,7 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     first = _links(salted.select(F.struct("center", "salt").alias("block"), "doc_id", F.lit(True).alias("is_query")), sets, percent)
     wide = spread.where("salts > 1").select("center")
-    links = first if wide.isEmpty() else first.unionByName(_across_blocks(asked, wide, first, sets, percent))
+    links = first if wide.isEmpty() else _across_blocks(asked, wide, first, sets, percent)
     joined = stage(components(links), "components")
     # Every row again: the class of its set, then the component of the class.
     located = sketch.select("doc_id", "n_shingles", "digest").join(_grows(copies), "digest", "left").select(
@@ -265,3 +267,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return final.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+
+
+# All pairs over shared shingles: fit for small tables only.
+ORACLE = """
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x20\\x09-\\x0D]+') as w from documents where text is not null),
+s as (select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * k >= 80 * (nx.n + ny.n - k)),
+b as (select x, y from e union all select y, x from e),
+r as (select doc_id as node, doc_id as root from documents union select b.y, r.root from r join b on b.x = r.node),
+c as (select node, min(root) as component_id from r group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join c on c.node = d.doc_id left join n on n.doc_id = d.doc_id
+"""

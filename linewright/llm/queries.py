@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import bpe, line_dedup, lm_scoring, mixing, pii, quality_classifier, quality_rules, topk, toxicity
+from .near_dedup import ORACLE as NEAR_ORACLE
 from .near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,8 @@ QUERIES: dict[str, Query] = {
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op3_near_dedup": NEAR_ORACLE,
+    "op6_mixing": mixing.ORACLE,
     "op8_top_k": topk.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
