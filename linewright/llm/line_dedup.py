@@ -22,17 +22,38 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda x: x["line"] != "")
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts): where windows begin, counted in lines with a word, that occurred before.
+def _long_windows(words: Column, size: int, long_words: int) -> Column:
+    """(start, size) of each `size` consecutive lines that hold more than `long_words` words; `words` has the words of each line."""
+
+    def total(start: Column) -> Column:
+        return sum((F.get(words, start + i) for i in range(1, size)), F.get(words, start))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - size), lambda s: total(s) > long_words)
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(size).alias("size")))
+
+
+def _windows(long_words: int | None) -> Column:
+    """(start, size) of every window over the column `lines`; see dedup_lines."""
+    count = F.size("lines")
+    starts = F.sequence(F.lit(0), F.greatest(count - WINDOW, F.lit(0)))
+    out = F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(count, F.lit(WINDOW)).alias("size")))
+    if long_words is not None:
+        words = F.transform("lines", lambda line: F.size(F.split(line, f"[{SPACE}]+")))
+        # A text of just so many lines is a window already. The word counts are bound once.
+        for size in range(1, WINDOW):
+            more = F.transform(F.array(words), lambda w: _long_windows(w, size, long_words))[0]  # noqa: B023
+            out = F.when(count > size, F.concat(out, more)).otherwise(out)
+    return F.when(count > 0, out)
+
+
+def repeated_windows(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """(doc_id, found): start and size of windows, counted in lines with a word, that occurred before.
 
     Documents are ordered by doc_id, lines by place; the first occurrence is not listed.
     """
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", _lines(F.col("text"))["line"].alias("lines"))
-    count = F.size("lines")
-    last = F.greatest(count - WINDOW, F.lit(0))
-    starts = F.when(count > 0, F.sequence(F.lit(0), last))
-    placed = lines.select("doc_id", "lines", F.explode(starts).alias("start"))
-    windows = stage(placed.select("doc_id", "start", *_key(F.slice("lines", F.col("start") + 1, F.lit(WINDOW)))), "windows")
+    placed = lines.select("doc_id", "lines", F.inline(_windows(long_words)))
+    windows = stage(placed.select("doc_id", "start", "size", *_key(F.slice("lines", F.col("start") + 1, F.col("size")))), "windows")
     # Partial minima and counts are combined before the shuffle, so a frequent window is one row per task.
     repeated = stage(
         windows.groupBy("h1", "h2")
@@ -43,27 +64,27 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     )
     later = windows.join(repeated.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
     # Through a table, so that the join stands alone and its frequent keys can be split.
-    return stage(later.select("doc_id", "start"), "later").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    return stage(later.select("doc_id", "start", "size"), "later").groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("found"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     """Every row of `docs` with repeated passages removed from `text`, plus n_lines and n_removed.
 
     Windows are three consecutive lines, blank ones skipped, outer white space ignored; a text of fewer lines is one
-    window. Every window that occurred before, in this or an earlier document by doc_id, is covered; all covered lines
+    window. With `long_words`, one or two consecutive lines of more words than that are windows too. Every window that occurred before, in this or an earlier document by doc_id, is covered; all covered lines
     go, also where windows overlap. Blank lines and the others stay as they were. A text all of
     whose lines go becomes empty. Null texts and rows without an id stay unchanged; rows that share an id count as one
     document, so copies of a row are treated alike. Columns named n_lines and n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     kept_names = docs.columns
-    starts = repeated_starts(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "__id", "starts": "__starts"})
+    found = repeated_windows(docs.select("doc_id", "text"), long_words).withColumnsRenamed({"doc_id": "__id", "found": "__found"})
     # Both joined tables grow with the corpus, so neither is broadcast at any size.
-    joined = docs.join(starts.hint("merge"), docs["doc_id"] == starts["__id"], "left").drop("__id")
+    joined = docs.join(found.hint("merge"), docs["doc_id"] == found["__id"], "left").drop("__id")
     lines = F.split("text", "\n", -1)
     worded = joined.withColumn("__places", F.when(F.col("text").isNotNull(), _lines(F.col("text"))["place"]))
-    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.slice("__places", s + 1, F.lit(WINDOW)))))
-    marked = worded.withColumn("__gone", F.when(F.col("__starts").isNotNull(), covered))
+    covered = F.array_distinct(F.flatten(F.transform("__found", lambda w: F.slice("__places", w["start"] + 1, w["size"]))))
+    marked = worded.withColumn("__gone", F.when(F.col("__found").isNotNull(), covered))
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     # The lines are bound once; a plain reference inside the inner function would split the text for every line.
     text = F.transform(F.array(lines), lambda all_: F.array_join(F.transform(rest, lambda i: F.get(all_, i)), "\n"))[0]

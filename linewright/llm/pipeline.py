@@ -18,6 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 MIN_QUALITY = 0.3
+# One or two repeated lines are a passage if they hold more words than this.
+LONG_WORDS = 50
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; a document that loses all its lines goes."""
-    left = dedup_lines(docs).where("not (n_removed > 0 and n_removed = n_lines)")
+    left = dedup_lines(docs, LONG_WORDS).where("not (n_removed > 0 and n_removed = n_lines)")
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
         left = left.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))

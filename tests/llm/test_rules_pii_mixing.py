@@ -136,6 +136,19 @@ def test_line_dedup(docs):
     assert dedup_lines(docs([])).collect() == []
 
 
+def test_line_dedup_of_long_lines(docs):
+    long, left, right = prose(70, 51), prose(71, 30), prose(72, 30)
+    rows = [(1, f"{long}\nfirst end", "s"), (2, f"a\n\n{long} \nb\nc\nd", "s"), (3, long, "s"), (4, f"e\n{left}\n{right}", "s")]
+    rows += [(5, f"f\ng\n{left}\n{right}\nh", "s"), (6, f"{left}\n{right}", "s"), (7, f"i\n{left}\nj\nfirst end", "s"), (8, f"{prose(73, 50)}\nk", "s")]
+    rows += [(9, f"l\n{prose(73, 50)}\nm\nn", "s")]
+    out = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in dedup_lines(docs(rows), 50).collect()}
+    texts = {i: t for i, t, _ in rows}
+    assert out[2] == ("a\n\nb\nc\nd", 5, 1) and out[3] == ("", 1, 1)
+    assert out[5] == ("f\ng\nh", 5, 2) and out[6] == ("", 2, 2)
+    # First occurrences, single lines of 30 words and lines of just 50 words stay.
+    assert all(out[i][0] == texts[i] and out[i][2] == 0 for i in (1, 4, 7, 8, 9))
+
+
 def filled(sizes, weights, share, cap):
     """Targets by sharing the excess again and again."""
     target, open_, left = {}, dict(weights), share * sum(sizes.values())
