@@ -143,6 +143,17 @@ def test_training_lowers_the_loss():
     assert lm_scoring.Scorer(after, vocabulary).score(texts)[1].sum() > before * 0.5
 
 
+def test_every_token_is_a_target(monkeypatch):
+    groups = [[b"one two three", b"", b"four"], [b"five six " * 300]]
+    counts = lm_scoring.bucket_counts(iter(groups))
+    vocabulary = lm_scoring.Vocabulary(counts)
+    targets = []
+    monkeypatch.setattr(lm_scoring, "_train_batch", lambda p, context, target, rate: targets.extend(target))
+    mixed = lm_scoring.trained(lm_scoring.flat(lm_scoring.initial(vocabulary)), vocabulary)(iter(groups))
+    expected = np.bincount(vocabulary.classes, counts, lm_scoring.CLASSES)
+    assert mixed[-1] == 604 and np.bincount(targets, minlength=lm_scoring.CLASSES).tolist() == expected.tolist()
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
