@@ -132,10 +132,11 @@ def _compare(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links_of(rows: dict) -> list[tuple[int, int]]:
-        ids = list(rows)
-        sets = [np.frombuffer(rows[i][1], np.uint64) for i in ids]
-        queries = [k for k, i in enumerate(ids) if rows[i][0]]
-        return forest(ids, sets, queries, percent) if queries and len(ids) > 1 else []
+        ids = [doc for doc, _ in rows]
+        sets = [np.frombuffer(shingles, np.uint64) for _, shingles in rows]
+        queries = [k for k, query in enumerate(rows.values()) if query]
+        found = forest(ids, sets, queries, percent) if queries and len(ids) > 1 else []
+        return [(a, b) for a, b in found if a != b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows = None, {}
@@ -146,8 +147,9 @@ def _compare(percent: int):
                 if key != block:
                     found += links_of(rows)
                     block, rows = key, {}
-                was = rows.get(doc)
-                rows[doc] = (query or bool(was and was[0]), shingles.as_py())
+                # Different texts under one id are compared each, as one node.
+                text = (doc, shingles.as_py())
+                rows[text] = query or rows.get(text, False)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
         if found := links_of(rows):

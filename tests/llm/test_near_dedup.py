@@ -97,3 +97,15 @@ def test_components(spark):
         low, high = sorted((root(a), root(b)))
         parent[high] = low
     assert got == {x: root(x) for x in parent if any(x in link and link[0] != link[1] for link in links)}
+
+
+def test_texts_that_share_an_id_are_all_compared():
+    import pyarrow as pa
+
+    a, b, c = (np.arange(k, k + 50, dtype=np.uint64).tobytes() for k in (0, 100, 200))
+    rows = [(1, a), (5, a), (5, b), (5, c), (9, b), (12, c)]
+    for order in (rows, rows[::-1]):
+        columns = [pa.array([0] * 6), pa.array([i for i, _ in order]), pa.array([True] * 6), pa.array([x for _, x in order], pa.binary())]
+        batch = pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "is_query", "shingles"])
+        found = {(x["a"], x["b"]) for out in near_dedup._compare(80)(iter([batch])) for x in out.to_pylist()}
+        assert found == {(5, 1), (9, 5), (12, 5)}
