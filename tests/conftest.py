@@ -34,11 +34,3 @@ def texts(spark):
         return spark.createDataFrame(list(enumerate(values, 1)), "index bigint, raw_text string")
 
     return make
-
-
-def write_files(root, files):
-    for name, content in files.items():
-        path = root / name
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(content if isinstance(content, bytes) else content.encode("utf-8"))
-    return str(root)

@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_files
+from trees import write_files
 from linewright.functions.normalize import normalize
 from linewright.functions.perturb import perturb
 from linewright.functions.rules import DEFAULT_RULES

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_files
+from trees import write_files
 from linewright.functions.rules import Rule
 from linewright.sources import datasets, files
 from linewright.sources.rule_files import load_rules, rules_from

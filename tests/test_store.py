@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_files
+from trees import write_files
 from linewright.functions.rules import Rule
 from linewright.plans.ingest import ingest
 from linewright.schemas import LOG_RECORD
