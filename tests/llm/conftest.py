@@ -1,11 +1,5 @@
-import sys
-from pathlib import Path
-
 import pytest
-
-sys.path.insert(0, str(Path(__file__).parent))
-
-from samples import odd_texts  # noqa: E402
+from samples import odd_texts
 
 SCHEMA = """doc_id bigint, text string, lang string, source string, n_chars bigint, score double, kept boolean, n_words int,
     band string, token_ids string, positions string, starts int, digest string"""
