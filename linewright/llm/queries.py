@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, lm_scoring, mixing, pii, prefix_trie, quality_classifier, quality_rules, topk, toxicity
+from . import bpe, collocations, line_dedup, lm_scoring, mixing, pii, prefix_trie, quality_classifier, quality_rules, topk, toxicity
 from .near_dedup import ORACLE as NEAR_ORACLE
 from .near_dedup import near_duplicates
 
@@ -81,6 +81,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
@@ -104,5 +109,6 @@ ORACLE: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op8_top_k": topk.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
