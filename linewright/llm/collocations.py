@@ -14,15 +14,16 @@ a phrase be counted that need not be, and changes nothing else.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..staging import stage
 from .cells import counted, table_size
+from .fingerprints import _BYTES, _powers, mixed
 
 REPORT = 2000
 LEAST_COUNT = 10
@@ -36,19 +37,69 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 HELD = 200_000
 # The first threshold is meant to leave so many pairs, each later one so many times more.
 FIRST_PAIRS, MORE = 2 * REPORT, 4
+# Text that a task cuts into words at once; a longer piece is taken whole.
+CHUNK_BYTES = 1 << 20
 _ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]")
-
-Words = list[bytes]
-# Made once per task: takes the words of a piece to the phrases that are counted.
-Grower = Callable[[], Callable[[Words], Iterable[bytes]]]
-
-
-def pieces(text: bytes) -> Iterator[Words]:
-    """The words of each piece of a text that has any, ASCII letters lower-cased, as UTF-8."""
-    for piece in _ENDS.split(text.lower()):
-        # What is left of the white space that splits bytes is the space and the tab.
-        if words := piece.split():
-            yield words
+_WORD, _BLANK, _END = range(3)
+_KIND = np.full(256, _WORD, np.uint8)
+_KIND[[9, 32]] = _BLANK
+_KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = _END
+_PAIR = np.uint64(0xD1342543DE82EF95)
+
+
+class Words:
+    """The words of a text, ASCII letters lower-cased, as places in its UTF-8 bytes."""
+
+    def __init__(self, data: bytes):
+        self.data = data.replace(b"\t", b" ")
+        codes = np.frombuffer(self.data, np.uint8)
+        kind = _KIND[codes]
+        inside = kind == _WORD
+        turns = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        self.starts, self.ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        piece = np.cumsum(kind == _END)[self.starts]
+        # Whether a word and the next one lie in one piece.
+        self.same = piece[1:] == piece[:-1]
+        self._codes, self._inside = codes, inside
+
+    def hashes(self) -> np.ndarray:
+        """64 bits per word."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        sizes = self.ends - self.starts
+        before = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+        values = _BYTES[self._codes[self._inside]] * _powers(int(sizes.max()))[place]
+        return mixed(np.add.reduceat(values, before) + sizes.astype(np.uint64))
+
+    def phrases(self, first: np.ndarray, width: int) -> list[bytes]:
+        """The phrases of `width` words that start at the given words, single spaces between."""
+        starts, ends, data = self.starts[first], self.ends[first + width - 1], self.data
+        out = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        if width > 1:
+            gaps = np.concatenate((self.starts[1:] - self.ends[:-1], [0]))
+            for i in np.flatnonzero(sum(gaps[first + k] for k in range(width - 1)) > width - 1):
+                out[i] = b" ".join(filter(None, out[i].split(b" ")))
+        return out
+
+
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """64 bits for each word and the next one."""
+    return mixed(words[:-1] * _PAIR + words[1:])
+
+
+def chunks(texts: list[bytes]) -> Iterator[bytes]:
+    """The texts, lower-cased and one after another, cut between pieces into parts of about CHUNK_BYTES."""
+    data, at = b"\n".join(texts).lower(), 0
+    while at < len(data):
+        end = _ENDS.search(data, at + CHUNK_BYTES)
+        to = end.end() if end else len(data)
+        yield data[at:to]
+        at = to
+
+
+# Made once per task: takes the words of a text to the phrases that are counted.
+Grower = Callable[[], Callable[[Words], list[bytes]]]
 
 
 def _grow(grower: Grower):
@@ -64,16 +115,15 @@ def _grow(grower: Grower):
         phrases_of = grower()
         held: dict[str, Counter] = {}
         for batch in batches:
+            texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary())):
-                counts = held.setdefault(lang, Counter())
-                for words in pieces(text.as_py()):
-                    counts.update(phrases_of(words))
-                    if len(counts) >= HELD:
-                        yield sent({lang: counts})
-                        counts.clear()
-            if sum(map(len, held.values())) >= HELD:
-                yield sent(held)
-                held = {}
+                texts.setdefault(lang, []).append(text.as_py())
+            for lang, own in texts.items():
+                for part in chunks(own):
+                    held.setdefault(lang, Counter()).update(phrases_of(Words(part)))
+                    if sum(map(len, held.values())) >= HELD:
+                        yield sent(held)
+                        held = {}
         if held:
             yield sent(held)
 
@@ -87,60 +137,48 @@ def _counts(docs: DataFrame, grower: Grower, least: int, name: str) -> DataFrame
 
 
 class Bits:
-    """A set of phrases of which a task can say that one is surely not in it."""
+    """A set of phrases of one or two words of which a task can say that one is surely not in it."""
 
-    def __init__(self, phrases: DataFrame):
+    def __init__(self, phrases: DataFrame, width: int):
         size = table_size(phrases.count(), 64, LEAST_BITS, MOST_BITS)
-        self.mask = size - 1
-        cell = F.crc32(F.col("phrase").cast("binary")).bitwiseAND(F.lit(self.mask)).alias("cell")
-        bits = counted(phrases.select(cell), lambda batch: batch["cell"].to_numpy(), size, 1)
-        self.table = phrases.sparkSession.sparkContext.broadcast(bits.tobytes())
+        self.mask = np.uint64(size - 1)
 
-    def test(self) -> Callable[[bytes], bool]:
-        bits, mask, crc32 = self.table.value, self.mask, zlib.crc32
+        def cells(batch: pa.RecordBatch) -> np.ndarray:
+            hashes = Words(b"\n".join(batch["phrase"].cast(pa.binary()).to_pylist())).hashes()
+            return ((hashes if width == 1 else pair_hashes(hashes)[::2]) & self.mask).astype(np.int64)
 
-        def holds(phrase: bytes) -> bool:
-            cell = crc32(phrase) & mask
-            return bool(bits[cell >> 3] & (128 >> (cell & 7)))
+        bits = counted(phrases.select("phrase"), cells, size, 1)
+        self.table = phrases.sparkSession.sparkContext.broadcast(bits)
 
-        return holds
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash may be one of the set."""
+        cells = hashes & self.mask
+        return (self.table.value[cells >> np.uint64(3)] << (cells & np.uint64(7)).astype(np.uint8)) & 128 > 0
 
 
-def _words() -> Callable[[Words], Iterable[bytes]]:
-    return lambda words: words
+def _single() -> Callable[[Words], list[bytes]]:
+    return lambda words: words.phrases(np.arange(len(words.starts)), 1)
 
 
 def _pairs(frequent: Bits) -> Grower:
     """Pairs of frequent words."""
 
-    def make() -> Callable[[Words], Iterable[bytes]]:
-        holds = frequent.test()
-
-        def run(words: Words) -> list[bytes]:
-            known = [holds(w) for w in words]
-            return [words[i] + b" " + words[i + 1] for i in range(len(words) - 1) if known[i] and known[i + 1]]
+    def run(words: Words) -> list[bytes]:
+        known = frequent.marked(words.hashes())
+        return words.phrases(np.flatnonzero(words.same & known[:-1] & known[1:]), 2)
 
-        return run
-
-    return make
+    return lambda: run
 
 
 def _triples(frequent: Bits, opened: Bits) -> Grower:
     """Phrases of three words both of whose pairs are frequent, and one of them opened."""
 
-    def make() -> Callable[[Words], Iterable[bytes]]:
-        holds, is_open = frequent.test(), opened.test()
-
-        def run(words: Words) -> Iterator[bytes]:
-            pairs = [a + b" " + b for a, b in zip(words, words[1:])]
-            known = [holds(p) for p in pairs]
-            for i in range(len(pairs) - 1):
-                if known[i] and known[i + 1] and (is_open(pairs[i]) or is_open(pairs[i + 1])):
-                    yield pairs[i] + b" " + words[i + 2]
-
-        return run
+    def run(words: Words) -> list[bytes]:
+        pairs = pair_hashes(words.hashes())
+        known, is_open = words.same & frequent.marked(pairs), opened.marked(pairs)
+        return words.phrases(np.flatnonzero(known[:-1] & known[1:] & (is_open[:-1] | is_open[1:])), 3)
 
-    return make
+    return lambda: run
 
 
 def _score(a: str, l: str, r: str) -> Column:  # noqa: E741
@@ -206,12 +244,12 @@ def collocations(docs: DataFrame, report: int = REPORT, first_pairs: int = FIRST
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
     docs = docs.select(lang, F.col("text").cast("string").alias("text")).where("text is not null")
-    every = _counts(docs, _words, 1, "words")
+    every = _counts(docs, _single, 1, "words")
     sizes = every.groupBy("lang").agg(F.sum("n").alias("n"))
     words = every.where(F.col("n") >= LEAST_COUNT)
-    pairs = _counts(docs, _pairs(Bits(words)), LEAST_COUNT, "pairs")
+    pairs = _counts(docs, _pairs(Bits(words, 1)), LEAST_COUNT, "pairs")
     scored = _scored_pairs(pairs, words)
-    frequent = Bits(pairs)
+    frequent = Bits(pairs, 2)
     wanted, triples = first_pairs, None
     # Languages that are not settled, with the bound down to which their pairs were opened before.
     left = stage(scored.groupBy("lang").agg(F.lit(MILLION + 1).cast("bigint").alias("before")), "left")
@@ -220,7 +258,7 @@ def collocations(docs: DataFrame, report: int = REPORT, first_pairs: int = FIRST
         marks = stage(left.join(_thresholds(scored, wanted), "lang"), "marks")
         marked = scored.join(_grows(marks), "lang")
         opening = marked.where("bound >= threshold and bound < before").select("lang", "phrase")
-        found = _counts(docs, _triples(frequent, Bits(opening)), LEAST_COUNT, "triples")
+        found = _counts(docs, _triples(frequent, Bits(opening, 2)), LEAST_COUNT, "triples")
         # A phrase counted twice was counted alike.
         triples = found if triples is None else stage(triples.unionByName(found).distinct(), "triples")
         parts = [F.substring_index("phrase", " ", 2), F.substring_index("phrase", " ", -2)]
