@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, collocations, line_dedup, lm_scoring, mixing, pii, prefix_trie, quality_classifier, quality_rules, topk, toxicity
+from . import bpe, collocations, embedding_dedup, line_dedup, lm_scoring, mixing, pii, prefix_trie, quality_classifier, quality_rules, topk, toxicity
 from .near_dedup import ORACLE as NEAR_ORACLE
 from .near_dedup import near_duplicates
 
@@ -85,6 +85,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
     "op11_collocations": op11_collocations,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
@@ -110,5 +115,6 @@ ORACLE: dict[str, str] = {
     "op8_top_k": topk.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op12_embedding_dedup": embedding_dedup.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
