@@ -86,7 +86,7 @@ def agreement(dims: int, cosine: float) -> float:
     length = np.linalg.norm(w, axis=1, keepdims=True)
     v = cosine * u + math.sqrt(1 - cosine * cosine) * np.divide(w, length, out=np.zeros_like(w), where=length > 0)
     share = float((largest(u, 65535) == largest(v, 65535)).mean())
-    return max(share - 2 * math.sqrt(share * (1 - share) / n), 1e-3)
+    return min(max(share - 2 * math.sqrt(share * (1 - share) / n), 1e-3), 0.99)
 
 
 def plan_bands(vectors: int, dims: int, cosine: float = THRESHOLD) -> tuple[int, int]:
@@ -339,7 +339,7 @@ def near_vectors(table: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
 
     Rows link if their cosine in double precision is at least `cosine`, above zero; vectors of different lengths never do, and vectors that
     are null, empty, zero, or hold a null or non-finite component link with nothing. n_links counts other rows, equal vectors and
-    repeated rows included. component_id is the least id reachable, where rows that share an id are one node. A row without an
+    repeated rows included. A pair is found with a probability of 0.999 at the threshold and more above it; none below it links. component_id is the least id reachable, where rows that share an id are one node. A row without an
     id links with nothing and keeps its own place: component_id null, kept true. Other columns are ignored; an empty table gives no rows.
     """
     rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
