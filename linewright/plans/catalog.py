@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import fields
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parse, text
 from ..functions.normalize import normalize, with_counts, with_trace
 from ..functions.perturb import perturb
-from ..functions.rules import Rule, rule_named
+from ..functions.rules import DEFAULT_RULES, Rule, rule_named
 from ..functions.signature import token_signature
 from ..operators import errors, grouping, metrics
 from ..operators.labels import join_predictions, label_by_file_line, label_by_index, last_wins
-from ..sources import corpus, datasets, files
+from ..sources import corpus, datasets, files, hadoop
 from ..sources.record_table import RecordTable, first_records
+from ..sources.rule_files import load_rules
 from ..staging import new_path, stage
 from . import evaluate
 from .ingest import ingest, normalized_records
@@ -103,6 +106,57 @@ def line_numbers(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(log.alias("log"), "line_number", "value")
 
 
+def discover_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files and bytes per log folder, from the listing alone."""
+    found = files.discover(spark, corpus.write_log_tree(spark, d))
+    log = F.regexp_extract("relative_path", "^log=([^/]+)/", 1).alias("log")
+    return found.groupBy(log).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def relative_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Lines per folder below the root, for a root given with a scheme."""
+    lines = files.scan_lines(spark, corpus.write_log_tree(spark, d))
+    folder = F.regexp_replace("relative_path", "/[^/]+$", "").alias("folder")
+    return lines.groupBy(folder).agg(F.count("*").alias("lines"))
+
+
+def dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Records that each layout gives when its kind is found out by what files exist."""
+    line_set, tree = corpus.write_line_set(spark, d), corpus.write_log_tree(spark, d)
+    hadoop.write_text(spark, f"{line_set}/{datasets.LABELS_FILE}", '{"name": "events", "records": []}')
+    counted = None
+    for path in (line_set, tree):
+        loaded = datasets.load_labelled(spark, path)
+        one = loaded.records.agg(F.count("*").alias("records"), F.max("index").alias("last_index")).select(F.lit(loaded.kind).alias("kind"), "*")
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
+
+
+def rules_from_file(spark: SparkSession, d: str) -> DataFrame:
+    """Event lines normalized by the rules of a written rule file, one of them disabled."""
+    path = f"{new_path(spark, 'rules')}/rules.json"
+    entries = [{"name": r.name, "pattern": r.pattern, "replacement": r.replacement} for r in DEFAULT_RULES]
+    entries.append({"name": "all", "pattern": ".", "replacement": "", "enabled": False})
+    hadoop.write_text(spark, path, json.dumps({"rules": entries}))
+    changed = normalize(F.col("raw_text"), load_rules(path, spark))
+    return _texts(spark, d).select("event_id", changed.alias("normalized_text"))
+
+
+def table_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Number and rows of the record table after it is made twice, filled, filled again and partly replaced."""
+    table = RecordTable(spark, new_path(spark, "records"))
+    records = stage(normalized_records(_records(spark, d)), "records")
+    steps = []
+    for name, some in (("made", None), ("made again", None), ("filled", "true"), ("filled again", "true"), ("partly replaced", "severity = 'ERROR'")):
+        if some is None:
+            table.create()
+        else:
+            table.upsert(records.where(some), unique_ids=True)
+        version = table.current()
+        steps.append(table.read(version).agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).select(F.lit(name).alias("step"), F.lit(version.number).alias("version"), "*"))
+    return reduce(DataFrame.unionByName, steps)
+
+
 def log_records(spark: SparkSession, d: str) -> DataFrame:
     return normalized_records(_records(spark, d))
 
@@ -331,6 +385,11 @@ def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "top_templates": top_templates,
     "line_numbers": line_numbers,
+    "discover_files": discover_files,
+    "relative_paths": relative_paths,
+    "dispatch": dispatch,
+    "rules_from_file": rules_from_file,
+    "table_versions": table_versions,
     "log_records": log_records,
     "document_records": document_records,
     "eval_local": eval_local,

@@ -11,6 +11,7 @@ from ..functions.normalize import normalize
 from ..functions.rules import DEFAULT_RULES, Rule
 from ..sources import files
 from ..sources.record_table import RecordTable
+from ..staging import scratch
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ def ingest(
     job_id: str | None = None,
     rules: Sequence[Rule] = DEFAULT_RULES,
     id_mode: str = "stable",
-    on_hidden: str = "fail",
+    on_hidden: str = "read",
     **parse_options,
 ) -> IngestSummary:
     """Ingest all log files below `root`; a repeated run with stable ids replaces its rows.
@@ -56,7 +57,8 @@ def ingest(
     """
     table = RecordTable(spark, table_path)
     table.create()
-    scan = files.open_scan(spark, root, on_hidden)
-    records = files.parse_records(files.numbered(scan, root), job_id, id_mode=id_mode, **parse_options)
-    written = store_records(table, normalized_records(records, rules), job_id, id_mode)
+    with scratch(spark):
+        scan = files.open_scan(spark, root, on_hidden)
+        records = files.parse_records(files.numbered(scan, root), job_id, id_mode=id_mode, **parse_options)
+        written = store_records(table, normalized_records(records, rules), job_id, id_mode)
     return IngestSummary(scan.n_files, written, written, table_path, len(scan.skipped))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text
 from ..staging import new_path
-from . import hadoop
+from . import files
 
 # One column expression per line part; see the README for the shape of a line.
 _TIME = """case event_id % 5
@@ -127,8 +127,8 @@ def write_line_set(spark: SparkSession, sf_dir: str) -> str:
 
 def tree_labels(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     """Labels of a written log tree by (relative path, physical line number)."""
-    below = [(path.split("/")[0].removeprefix("log="), path) for path in hadoop.files_below(spark, root) if path.endswith(".txt")]
-    paths = spark.createDataFrame(below, "log string, file string")  # a row per log
+    names = F.regexp_extract("relative_path", "^log=([^/]+)/", 1).alias("log")
+    paths = files.discover(spark, root).select(names, F.col("relative_path").alias("file"))
     labels = _read(spark, sf_dir, "events").selectExpr(
         "event_id", f"{_TREE_FILE} as log", f"{_LABEL} as expected_group_id", f"{_EXPECTED} as expected_template"
     )

@@ -124,7 +124,7 @@ def _indexed_tree(spark: SparkSession, path: str) -> DataFrame:
     scan = files.open_scan(spark, path)
     if scan.lines is None:
         return files.load_records(spark, path).withColumn("index", F.lit(None).cast("bigint"))
-    lines, in_order = files.place_scan(scan.lines.select("value", *files.split_columns()), path)
+    lines, in_order = files.place_scan(scan.lines, path)
     records = files.parse_records(lines)
     parts = F.split("relative_path", "/")
     if in_order:

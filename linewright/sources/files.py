@@ -10,6 +10,7 @@ from ..functions import parse, text
 from ..operators.numbering import physical_line_numbers
 from ..staging import stage
 from . import hadoop
+from .hidden import hidden_lines
 
 # Suffixes of log files, in any letter case.
 LOG_GLOB = "*.{[lL][oO][gG],[tT][xX][tT]}"
@@ -22,42 +23,68 @@ READ_OPTIONS = {"recursiveFileLookup": "true", "pathGlobFilter": LOG_GLOB}
 
 @dataclass(frozen=True)
 class Scan:
-    """The lines below a root, the number of files they come from, and log files left out."""
+    """The lines below a root with `split_columns()`, the number of files they come from, and log files left out."""
 
     lines: DataFrame | None
     n_files: int
     skipped: list[str]
 
 
-def _is_log(name: str) -> bool:
-    return name.lower().endswith((".log", ".txt"))
+def open_scan(spark: SparkSession, root: str, on_hidden: str = "read") -> Scan:
+    """Start a scan of all log files below `root`, whatever their names.
 
-
-def _is_hidden(name: str) -> bool:
-    """Whether Spark's file sources pass over a name that they come to while listing a folder."""
-    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
-
-
-def open_scan(spark: SparkSession, root: str, on_hidden: str = "fail") -> Scan:
-    """Start a scan of all log files below `root`, hidden folders included.
-
-    Spark can be sent into a hidden folder, but not to a hidden file: those are an error, or with `on_hidden="skip"`
-    named in `skipped`.
+    Spark can be sent into a hidden folder, but not to a hidden file: those are read by `hidden_lines`, or with
+    `on_hidden="skip"` left out and named in `skipped`, or with "fail" an error.
     """
-    if on_hidden not in ("fail", "skip"):
-        raise ValueError(f"on_hidden must be 'fail' or 'skip', not {on_hidden!r}")
-    below = [path for path in hadoop.files_below(spark, root) if _is_log(path or root)]
-    skipped = [path for path in below if _is_hidden(hadoop.base_name(path or root))]
-    if skipped and on_hidden == "fail":
-        raise ValueError(f"{len(skipped)} log files have names that Spark does not read, such as {skipped[0] or root}")
-    if len(skipped) == len(below):
-        return Scan(None, 0, skipped)
-    roots = {root}
-    for path in below:
-        folders = path.split("/")[:-1]
-        roots |= {"/".join([root.rstrip("/"), *folders[: i + 1]]) for i, name in enumerate(folders) if _is_hidden(name)}
-    lines = spark.read.format("text").options(**READ_OPTIONS).load(sorted(roots))
-    return Scan(lines, len(lines._jdf.inputFiles()), skipped)
+    hidden = _hidden(spark, root, on_hidden)
+    skipped = [hadoop.below(spark, uri, root) for uri, _ in hidden.files] if on_hidden == "skip" else []
+    lines = _visible(spark, root, hidden, "text")
+    n_files = 0 if lines is None else len(lines._jdf.inputFiles())
+    scan = None if not n_files else lines.select("value", *split_columns())
+    if hidden.files and on_hidden == "read":
+        others = hidden_lines(spark, hidden.files)
+        scan = others if scan is None else scan.unionByName(others)
+        n_files += len(hidden.files)
+    return Scan(scan, n_files, skipped)
+
+
+def _hidden(spark: SparkSession, root: str, on_hidden: str = "read") -> hadoop.Hidden:
+    if on_hidden not in ("read", "fail", "skip"):
+        raise ValueError(f"on_hidden must be 'read', 'fail' or 'skip', not {on_hidden!r}")
+    hidden = hadoop.hidden_below(spark, root, LOG_GLOB)
+    if hidden.files and on_hidden == "fail":
+        raise ValueError(f"{len(hidden.files)} log files have names that Spark does not read, such as {hidden.files[0][0]}")
+    return hidden
+
+
+def _visible(spark: SparkSession, root: str, hidden: hadoop.Hidden, fmt: str) -> DataFrame | None:
+    """The log files below a root that Spark lists, hidden folders included."""
+    if not hadoop.exists(spark, root):
+        return None
+    # Spark takes a path for a pattern; hidden folders are given by their plain names.
+    roots = [root, *map(hadoop.as_pattern, hidden.folders)]
+    return spark.read.format(fmt).options(**READ_OPTIONS).load(roots)
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, relative_path, length, modified) of the log files below `root` (or `root` itself), whatever their names.
+
+    Spark lists the folders, in parallel where there are many; no content is read and no name passes through Python, but for hidden
+    files. Times of empty and hidden files are null.
+    """
+    hidden = _hidden(spark, root)
+    listed = _visible(spark, root, hidden, "binaryFile")
+    shape = "path string, modified timestamp, length bigint"
+    found = spark.createDataFrame([(uri, None, size) for uri, size in hidden.files], shape)
+    if listed is not None:
+        of_file = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "path"), ("file_modification_time", "modified"), ("file_size", "length"))]
+        # A scan passes over empty files, which the listing has.
+        names = hadoop.listed_names(listed).join(listed.select(*of_file), "path", "left")
+        found = found.unionByName(names.select("path", "modified", F.coalesce("length", F.lit(0)).alias("length")))
+    path = F.col("path")
+    return found.select(
+        given_path(spark, path, root).alias("file_path"), relative_path(spark, path, root).alias("relative_path"), "length", "modified"
+    )
 
 
 def given_path(spark: SparkSession, uri: Column, root: str) -> Column:
@@ -74,14 +101,7 @@ def relative_path(spark: SparkSession, uri: Column, root: str) -> Column:
     return F.substring(decoded, len(absolute) + 2, 2**31 - 1)
 
 
-def discover(spark: SparkSession, root: str) -> list[str]:
-    """Log files below `root` (or `root` itself), whatever their names, ordered by path components."""
-    below = [path for path in hadoop.files_below(spark, root) if _is_log(path or root)]
-    ordered = sorted(below, key=lambda path: path.split("/"))
-    return [f"{root.rstrip('/')}/{path}" if path else root for path in ordered]
-
-
-def scan_lines(spark: SparkSession, root: str, on_hidden: str = "fail") -> DataFrame:
+def scan_lines(spark: SparkSession, root: str, on_hidden: str = "read") -> DataFrame:
     """Every physical line below `root`: (file_path, relative_path, source, host, line_number, value).
 
     Blank lines are included and keep their numbers. The text is read once, in parallel
@@ -94,7 +114,7 @@ def numbered(scan: Scan, root: str) -> DataFrame:
     """The lines of a scan with their numbers."""
     if scan.lines is None:
         return SparkSession.active().createDataFrame([], _LINE_SCHEMA)
-    return number_scan(scan.lines.select("value", *split_columns()), root)
+    return number_scan(scan.lines, root)
 
 
 def split_columns() -> list[Column]:
@@ -161,7 +181,7 @@ def parse_records(
 
 
 def load_records(
-    spark: SparkSession, root: str, job_id: str | None = None, on_hidden: str = "fail", **options
+    spark: SparkSession, root: str, job_id: str | None = None, on_hidden: str = "read", **options
 ) -> DataFrame:
     """Parsed records of all log files below `root`."""
     return parse_records(scan_lines(spark, root, on_hidden), job_id, **options)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _resolve(spark: SparkSession, path: str):
@@ -26,6 +29,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder if it exists."""
+    fs, hadoop_path = _resolve(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def make_dir(spark: SparkSession, path: str) -> bool:
     fs, hadoop_path = _resolve(spark, path)
     return fs.mkdirs(hadoop_path)
@@ -37,16 +46,63 @@ def absolute_path(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(hadoop_path).toUri().getPath()
 
 
-def files_below(spark: SparkSession, path: str) -> list[str]:
-    """Paths of all files below a folder, relative to it, whatever their names; empty text for a path that is a file."""
-    fs, hadoop_path = _resolve(spark, path)
-    if not fs.exists(hadoop_path):
-        return []
-    root = absolute_path(spark, path).rstrip("/")
-    found, out = fs.listFiles(hadoop_path, True), []
-    while found.hasNext():
-        out.append(found.next().getPath().toUri().getPath()[len(root) + 1 :])
-    return out
+def as_pattern(path: str) -> str:
+    """A path as a glob pattern that matches just this path."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def below(spark: SparkSession, uri: str, root: str) -> str:
+    """Path of a file URI relative to a root; empty if it is the root."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(uri)).toUri().getPath()
+    return path[len(absolute_path(spark, root).rstrip("/")) + 1 :]
+
+
+def listed_names(scan: DataFrame) -> DataFrame:
+    """(path): URIs of all files that Spark has listed for a scan; they stay in the JVM."""
+    spark = scan.sparkSession
+    jvm = spark.sparkContext._jvm
+    names = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(scan._jdf.inputFiles())
+    return DataFrame(spark._jsparkSession.createDataset(names, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark).toDF("path")
+
+
+def is_hidden(name: str) -> bool:
+    """Whether Spark's file sources pass over a name that they come to while listing a folder."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+@dataclass(frozen=True)
+class Hidden:
+    """Hidden folders and hidden log files below a root."""
+
+    folders: list[str]
+    files: list[tuple[str, int]]
+
+
+def hidden_below(spark: SparkSession, path: str, suffixes: str) -> Hidden:
+    """URIs of hidden folders, and URIs and sizes of hidden files with a suffix (a glob), at any depth below `path` or itself.
+
+    The file system matches names level by level, so the driver is told of hidden names only, whatever else there is.
+    """
+    fs, root = _resolve(spark, path)
+    if not fs.exists(root):
+        return Hidden([], [])
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    base = fs.makeQualified(root).toString().rstrip("/")
+    level = as_pattern(base)
+    folders, files = [], []
+    if not fs.getFileStatus(root).isDirectory():
+        if not is_hidden(base_name(path)):
+            return Hidden([], [])
+        return Hidden([], [(status.getPath().toUri().toString(), status.getLen()) for status in fs.globStatus(make(level)) or []])
+    while len(fs.globStatus(make(f"{level}/*")) or []):
+        for status in fs.globStatus(make(f"{level}/[._]*")) or []:
+            if status.isDirectory() and is_hidden(status.getPath().getName()):
+                folders.append(status.getPath().toString())
+        for status in fs.globStatus(make(f"{level}/[._]{suffixes}")) or []:
+            if status.isFile() and is_hidden(status.getPath().getName()):
+                files.append((status.getPath().toUri().toString(), status.getLen()))
+        level += "/*"
+    return Hidden(folders, files)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -16,11 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.labels import last_wins
 from ..schemas import LOG_RECORD
-from ..staging import stage
+from ..staging import scratch, stage
 from . import hadoop
 
 _COLUMNS = LOG_RECORD.fieldNames()
 _DIGITS = 12
+# A part is known by the last 32 hexadecimal digits of its folder: a name of its own, or that of the part which it replaces.
+_KEY = 32
+_REPLACES = "replaces"
+
+
+def _part_key() -> Column:
+    return F.regexp_extract("_metadata.file_path", f"([0-9a-f]{{{_KEY}}})/[^/]+$", 1)
 
 
 @dataclass(frozen=True)
@@ -70,6 +77,10 @@ class RecordTable:
         `unique_ids` promises that none does. `scope` is a predicate that holds for all stored rows an incoming id can
         meet, such as one job: it reaches the Parquet scan. `new_ids` promises that no stored id comes again.
         """
+        with scratch(self.spark):
+            return self._upsert(records, unique_ids, scope, new_ids)
+
+    def _upsert(self, records: DataFrame, unique_ids: bool, scope: Column | None, new_ids: bool) -> int:
         incoming = records.select(*_COLUMNS)
         came = None
         if not unique_ids:
@@ -102,18 +113,23 @@ class RecordTable:
                 return self._parts({part: key}).count()
 
     def _without(self, base: Version, ids: DataFrame, scope: Column | None) -> dict[str, str | None]:
-        """The parts of a version with the given ids taken out."""
+        """The parts of a version with the given ids taken out; all parts that hold one are written again by one job."""
         if not base.parts:
             return {}
-        stored = self._parts(base.parts).withColumn("_part", F.element_at(F.split("_metadata.file_path", "/"), -2))
+        keys = {name[-_KEY:]: name for name in base.parts}
+        stored = self._parts(base.parts).withColumn("_part", _part_key())
         candidates = stored if scope is None else stored.where(scope)
         met = stage(candidates.select("id", "_part").join(ids, "id", "left_semi"), "met")
-        touched = [r["_part"] for r in met.select("_part").distinct().collect()]  # a row per load at most
-        parts = dict(base.parts)
-        for name in touched:
-            gone = met.where(F.col("_part") == name).select("id")
-            load = parts.pop(name)
-            parts[self._write(self._parts({name: load}).join(gone, "id", "left_anti").select(*_COLUMNS))] = load
+        touched = {keys[r["_part"]] for r in met.select("_part").distinct().collect()}  # a row per load at most
+        parts = {name: load for name, load in base.parts.items() if name not in touched}
+        if touched:
+            rest = self._parts(dict.fromkeys(touched)).withColumn("_part", _part_key()).join(met, ["id", "_part"], "left_anti")
+            again = uuid.uuid4().hex
+            # Tasks get rows by part, large parts in several shares.
+            rest.hint("rebalance", "_part").withColumnRenamed("_part", _REPLACES).write.partitionBy(_REPLACES).parquet(f"{self.path}/parts/{again}")
+            for folder in hadoop.children(self.spark, f"{self.path}/parts/{again}"):
+                if folder.startswith(f"{_REPLACES}="):
+                    parts[f"{again}/{folder}"] = base.parts[keys[folder[-_KEY:]]]
         return parts
 
     def _write(self, rows: DataFrame) -> str:

@@ -8,9 +8,14 @@ lost executor costs a re-read instead of a recomputation.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources import hadoop
+
 # Regex work costs much time per byte, so a task should be able to read a small piece.
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 
@@ -28,9 +33,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/linewright/{name}-{uuid.uuid4().hex}"
 
 
+_OWNED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Own the tables that are staged inside: they are deleted at the end, so nothing that reads them may be used after it.
+
+    Frames that came in from outside keep what they read. Without it a staged table stays, as results may read it later.
+    """
+    mark = _OWNED.set([])
+    try:
+        yield
+    finally:
+        paths = _OWNED.get()
+        _OWNED.reset(mark)
+        for path in paths:
+            hadoop.delete(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and return a frame that reads it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

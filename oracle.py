@@ -230,6 +230,14 @@ ORACLE: dict[str, str] = {
 select normalized_text as template, count(*) as lines, min(idx) as first_index from norm
 group by 1 order by lines desc, first_index limit 20""",
     "line_numbers": f"with {_EV} select log, row_number() over (partition by log order by event_id) as line_number, value from ev",
+    "discover_files": f"with {_EV} select log, count(distinct log) as files, sum(strlen(value) + 1)::bigint as bytes from ev group by log",
+    "relative_paths": f"with {_EV} select 'log=' || log as folder, count(*) as lines from ev group by log",
+    "dispatch": f"""with {_EV} select kind, count(*) as records, count(*) as last_index
+from tx cross join (select unnest(['local', 'synthetic']) as kind) group by kind""",
+    "rules_from_file": f"{_NORM} select event_id, normalized_text from norm",
+    "table_versions": f"""with {_EV}, n as (select count(*) as n from tx)
+select s.step, s.version::int as version, case when s.version = 0 then 0 else n end as rows, case when s.version = 0 then 0 else n end as ids
+from n cross join (values ('made', 0), ('made again', 0), ('filled', 1), ('filled again', 2), ('partly replaced', 3)) as s(step, version)""",
     "log_records": f"""{_NORM}
 select {_identity('events')} as id, {_TIMESTAMP} as timestamp, {_SOURCE} as source, {_HOST} as host, 'events' as job_id,
   {_SEVERITY} as severity, {_BRACKET} as component, raw_text, normalized_text, file_path, line_number from norm""",

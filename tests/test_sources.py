@@ -1,12 +1,14 @@
+import io
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from trees import write_files
 from linewright.functions.rules import Rule
-from linewright.sources import datasets, files
+from linewright.sources import datasets, files, hidden
 from linewright.sources.rule_files import load_rules, rules_from
 
 
@@ -15,27 +17,32 @@ def scanned(spark, root):
     return [(r["relative_path"], r["line_number"], r["value"]) for r in rows]
 
 
+def discovered(spark, root):
+    rows = files.discover(spark, root).collect()
+    return [r["file_path"] for r in sorted(rows, key=lambda r: r["relative_path"].split("/"))]
+
+
 def test_discovery(spark, tmp_path):
     root = write_files(tmp_path, {
         "zeta_rack4.log": "alpha\n", "inner/mill_host2.txt": "beta\n", "inner/notes.csv": "1,2", "B.LOG": "x\n",
         "deep/k=v/c d+e%f.TxT": "y\n", "empty.log": "", "log": "no suffix\n", "_kept/in.log": "z\n",
     })
     names = ["B.LOG", "_kept/in.log", "deep/k=v/c d+e%f.TxT", "empty.log", "inner/mill_host2.txt", "zeta_rack4.log"]
-    assert files.discover(spark, root) == [f"{root}/{n}" for n in names]
+    assert discovered(spark, root) == [f"{root}/{n}" for n in names]
     assert {path for path, _, _ in scanned(spark, root)} == set(names) - {"empty.log"}
 
 
 def test_missing_empty_and_single_file_roots(spark, tmp_path):
-    assert files.discover(spark, str(tmp_path / "absent")) == []
+    assert discovered(spark, str(tmp_path / "absent")) == []
     assert scanned(spark, str(tmp_path / "absent")) == []
     (tmp_path / "none").mkdir()
-    assert files.discover(spark, str(tmp_path / "none")) == []
+    assert discovered(spark, str(tmp_path / "none")) == []
     assert scanned(spark, str(tmp_path / "none")) == []
     assert files.load_records(spark, str(tmp_path / "none")).count() == 0
     root = write_files(tmp_path, {"one_node1.log": "a\nb\n", "other.json": "{}"})
     record = files.load_records(spark, f"{root}/one_node1.log").orderBy("line_number").first()
     assert (record["file_path"], record["source"], record["host"]) == (f"{root}/one_node1.log", "one", "node1")
-    assert files.discover(spark, f"{root}/other.json") == []
+    assert discovered(spark, f"{root}/other.json") == []
 
 
 def test_line_breaks_blanks_and_decoding(spark, tmp_path):
@@ -152,3 +159,43 @@ def test_rule_files(spark, tmp_path):
     assert load_rules(f"{root}/empty.yaml") == []
     with pytest.raises(KeyError):
         rules_from([{"name": "a", "pattern": "x"}])
+
+
+@pytest.mark.parametrize("read_bytes", [1, 2, 7, 1 << 20])
+def test_byte_ranges_give_every_line_once(monkeypatch, read_bytes):
+    """Any cut of a file into ranges, between the two bytes of a line end too, gives the lines of the whole."""
+    monkeypatch.setattr(hidden, "_READ_BYTES", read_bytes)
+    rng = random.Random(read_bytes)
+    for _ in range(300):
+        data = bytes(rng.choices(b"ab\r\n", k=rng.randrange(0, 24)))
+        whole = re.split(rb"\r\n|\r|\n", data)
+        whole = whole[:-1] if not whole[-1] else whole
+        cuts = sorted({0, len(data), *(rng.randrange(0, len(data) + 1) for _ in range(4))})
+        parts = [list(hidden.lines_from(io.BytesIO(data), a, b)) for a, b in zip(cuts, cuts[1:])]
+        assert [line for part in parts for line in part] == whole, (data, cuts)
+
+
+def test_hidden_files_in_many_ranges(spark, tmp_path):
+    """Hidden files in several byte ranges, deep in a tree and with odd names, are read as Spark reads others."""
+    rng = random.Random(5)
+    content = "".join("w" * rng.randint(0, 60) + rng.choice(["\n", "\r\n"]) for _ in range(3000)).encode() + b"\xff end"
+    names = ["_x.log", "a [1]/b{c}/.y z%.TXT", ".k/_deep/_z.log", "plain/q.log"]
+    root = write_files(tmp_path, {**dict.fromkeys(names, content), "a/.notes": "no", "_no/readme.md": "no", "_empty.log": "", ".bom.log": b"\xef\xbb\xbfone\n"})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {}
+        for path, number, value in scanned(spark, root):
+            got.setdefault(path, []).append((number, value))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    lines = content.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    assert got == {**dict.fromkeys(names, list(enumerate(lines, 1))), ".bom.log": [(1, "one")]}
+    assert set(discovered(spark, root)) == {f"{root}/{n}" for n in [*names, "_empty.log", ".bom.log"]}
+    alone = files.scan_lines(spark, f"{root}/_x.log")
+    assert (alone.count(), alone.first()["file_path"]) == (len(lines), f"{root}/_x.log")
+
+
+def test_hidden_files_in_a_store_of_spark_only():
+    with pytest.raises(ValueError, match="only Spark"):
+        hidden.open_store("viewfs://store/in/_x.log")

@@ -1,4 +1,5 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,9 +159,12 @@ def test_hidden_names(spark, tmp_path):
     root, path = write_files(tmp_path / "logs", {**LOGS, "_old/a.log": "one\n", ".cache/_deep/d.log": "two\n", "sub/_k=1.log": "three\n"}), str(tmp_path / "t")
     assert ingest(spark, root, path, "j").files_processed == 6
     assert {"one", "two", "three"} <= {r["raw_text"] for r in RecordTable(spark, path).read().collect()}
-    write_files(tmp_path / "logs", {"_b.log": "lost\n", "sub/.c.txt": "lost\n"})
+    write_files(tmp_path / "logs", {"_b.log": "four\n\nfive", "sub/.c.txt": "six\n"})
     with pytest.raises(ValueError, match="2 log files"):
-        ingest(spark, root, path, "j")
+        ingest(spark, root, path, "j", on_hidden="fail")
+    assert ingest(spark, root, path, "j").files_processed == 8
+    found = {(r["file_path"].removeprefix(root + "/"), r["line_number"], r["raw_text"]) for r in RecordTable(spark, path).read().collect()}
+    assert {("_b.log", 1, "four"), ("_b.log", 3, "five"), ("sub/.c.txt", 1, "six"), (".cache/_deep/d.log", 1, "two")} <= found
     summary = ingest(spark, root, path, "j", on_hidden="skip")
     assert (summary.files_processed, summary.files_skipped, summary.records_written) == (6, 2, 5)
 
@@ -199,3 +203,64 @@ def test_arriving_files(spark, tmp_path):
     assert run() == first
     write_files(tmp_path / "in", {"late/x_n1.log": "\nlate\n"})
     assert run() == first | {("late/x_n1.log", 2, "late")}
+
+
+def test_one_job_rewrites_all_touched_parts(spark, tmp_path):
+    """Parts that hold replaced ids are written again together; emptied ones go, untouched ones stay as files."""
+    path = str(tmp_path / "table")
+    table = RecordTable(spark, path)
+    table.create()
+    rows = [record(id=f"{part}-{i}", raw_text=f"{part} {i}", line_number=i) for part in "abcd" for i in range(5)]
+    for part in "abcd":
+        table.upsert(spark.createDataFrame([r for r in rows if r[0].startswith(part)], LOG_RECORD))
+    first = table.current()
+    changed = [record(id=i, raw_text="new", line_number=int(i[2:])) for i in ["a-1", "b-2", "b-3", *(f"c-{k}" for k in range(5))]]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rewrite", "")
+    table.upsert(spark.createDataFrame(changed, LOG_RECORD))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    now = table.current()
+    ids = {r["id"]: r["raw_text"] for r in table.read().collect()}
+    assert ids == {r[0]: "new" if r[0] in {c[0] for c in changed} else r[7] for r in rows}
+    assert len(set(first.parts) & set(now.parts)) == 1 and len(now.parts) == 4
+    # Again, so that parts which replace others are replaced themselves.
+    table.upsert(spark.createDataFrame([record(id="a-0", raw_text="newer"), record(id="c-4", raw_text="newer"), record(id="d-0", raw_text="newer")], LOG_RECORD))
+    ids |= {"a-0": "newer", "c-4": "newer", "d-0": "newer"}
+    assert {r["id"]: r["raw_text"] for r in table.read().collect()} == ids and table.read().count() == 20
+    assert {r["id"] for r in table.read(first).collect()} == {r[0] for r in rows}
+    assert len(jobs.getJobIdsForGroup("rewrite")) < 25
+
+
+def test_the_number_of_jobs_does_not_follow_the_parts(spark, tmp_path):
+    counts = []
+    for parts in (2, 12):
+        table = RecordTable(spark, str(tmp_path / f"t{parts}"))
+        table.create()
+        for p in range(parts):
+            table.upsert(spark.createDataFrame([record(id=f"{p}-{i}") for i in range(3)], LOG_RECORD), unique_ids=True, new_ids=True)
+        group = f"parts {parts}"
+        spark.sparkContext.setJobGroup(group, "")
+        table.upsert(spark.createDataFrame([record(id=f"{p}-1", raw_text="new") for p in range(parts)], LOG_RECORD), unique_ids=True)
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert table.read().where("raw_text = 'new'").count() == parts and table.read().count() == 3 * parts
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1]
+
+
+def test_nothing_staged_is_left_after_a_write(spark, tmp_path):
+    staged = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "linewright"
+    before = set(staged.iterdir()) if staged.exists() else set()
+    root, path = write_files(tmp_path / "logs", LOGS), str(tmp_path / "t")
+    ingest(spark, root, path, "j")
+    ingest(spark, root, path, "j")
+    RecordTable(spark, path).upsert(RecordTable(spark, path).read())
+    assert (set(staged.iterdir()) if staged.exists() else set()) == before
+    assert sorted(p.name for p in Path(path).iterdir()) == ["manifests", "parts"]
+
+
+def test_streams_report_hidden_names(spark, tmp_path):
+    root = write_files(tmp_path / "in", {**LOGS, "_b.log": "lost\n"})
+    with pytest.raises(ValueError, match="1 log files"):
+        ingest_arrivals(spark, root, str(tmp_path / "t"), str(tmp_path / "c"), "j")
+    ingest_arrivals(spark, root, str(tmp_path / "t"), str(tmp_path / "c"), "j", on_hidden="skip").awaitTermination()
+    assert RecordTable(spark, str(tmp_path / "t")).read().count() == 2
