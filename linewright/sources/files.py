@@ -77,9 +77,10 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     shape = "path string, modified timestamp, length bigint"
     found = spark.createDataFrame([(uri, None, size) for uri, size in hidden.files], shape)
     if listed is not None:
-        of_file = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "path"), ("file_modification_time", "modified"), ("file_size", "length"))]
-        # A scan passes over empty files, which the listing has.
-        names = hadoop.listed_names(listed).join(listed.select(*of_file), "path", "left")
+        of_file = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "uri"), ("file_modification_time", "modified"), ("file_size", "length"))]
+        # A scan passes over empty files, which the listing has. The two write a URI without an authority differently.
+        sizes = listed.select(*of_file).withColumn("key", relative_path(spark, F.col("uri"), root)).drop("uri")
+        names = hadoop.listed_names(listed).withColumn("key", relative_path(spark, F.col("path"), root)).join(sizes, "key", "left")
         found = found.unionByName(names.select("path", "modified", F.coalesce("length", F.lit(0)).alias("length")))
     path = F.col("path")
     return found.select(

@@ -30,6 +30,8 @@ def test_discovery(spark, tmp_path):
     names = ["B.LOG", "_kept/in.log", "deep/k=v/c d+e%f.TxT", "empty.log", "inner/mill_host2.txt", "zeta_rack4.log"]
     assert discovered(spark, root) == [f"{root}/{n}" for n in names]
     assert {path for path, _, _ in scanned(spark, root)} == set(names) - {"empty.log"}
+    sizes = {r["relative_path"]: (r["length"], r["modified"] is None) for r in files.discover(spark, root).collect()}
+    assert sizes == {n: ((tmp_path / n).stat().st_size, n == "empty.log") for n in names}
 
 
 def test_missing_empty_and_single_file_roots(spark, tmp_path):
