@@ -72,8 +72,8 @@ def text_chunks(texts: Sequence[str | None]) -> Iterator[list[bytes]]:
 _BLOCK = 1024
 
 
-def _blocks(values: np.ndarray) -> pa.RecordBatch:
-    padded = np.zeros(-(-len(values) // _BLOCK) * _BLOCK, np.float32)
+def _blocks(values: np.ndarray, kind: type) -> pa.RecordBatch:
+    padded = np.zeros(-(-len(values) // _BLOCK) * _BLOCK, kind)
     padded[: len(values)] = values
     rows = padded.reshape(-1, _BLOCK)
     used = np.flatnonzero(rows.any(1))
@@ -82,30 +82,34 @@ def _blocks(values: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, cells in zip(batch["block"].to_pylist(), batch["cells"]):
-            row = np.frombuffer(cells.as_py(), np.float32)
-            sums[block] = sums[block] + row if block in sums else row.astype(np.float64)
-    if sums:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float64).tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"]
-        )
+def _sum_blocks(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells in zip(batch["block"].to_pylist(), batch["cells"]):
+                row = np.frombuffer(cells.as_py(), kind)
+                sums[block] = sums[block] + row if block in sums else row.astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float64).tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"]
+            )
 
+    return run
 
-def summed(docs: DataFrame, size: int, of_texts) -> np.ndarray:
+
+def summed(docs: DataFrame, size: int, of_texts, column: str = "text", groups_of=text_chunks, kind: type = np.float32) -> np.ndarray:
     """The sum over all texts of a vector of `size` numbers.
 
-    `of_texts` makes one vector of a task's texts (an iterator of byte groups), so each task sends one; their
-    blocks are added in a stream by other tasks, and the driver gets `size` numbers however many tasks there are.
+    `of_texts` makes one vector of a task's texts (an iterator of byte groups, or of what `groups_of` makes of another column), so each task
+    sends one, in numbers of `kind`; their blocks are added in a stream by other tasks, and the driver gets `size` numbers however many
+    tasks there are.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _blocks(of_texts(group for batch in batches for group in text_chunks(batch["text"].to_pylist())))
+        yield _blocks(of_texts(group for batch in batches for group in groups_of(batch[column].to_pylist())), kind)
 
-    parts = docs.select("text").mapInArrow(each, "block int, cells binary").repartition(F.col("block"))
+    parts = docs.select(column).mapInArrow(each, "block int, cells binary").repartition(F.col("block"))
     out = np.zeros(-(-size // _BLOCK) * _BLOCK)
-    for r in parts.mapInArrow(_sum_blocks, "block int, cells binary").collect():
+    for r in parts.mapInArrow(_sum_blocks(kind), "block int, cells binary").collect():
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] += np.frombuffer(r["cells"], np.float64)
     return out[:size]
