@@ -46,25 +46,32 @@ def _windows(long_words: int | None) -> Column:
     return F.when(count > 0, out)
 
 
+def version(text: Column) -> Column:
+    """Tells different texts under one id apart."""
+    return F.xxhash64(text)
+
+
 def repeated_windows(docs: DataFrame, long_words: int | None = None) -> DataFrame:
-    """(doc_id, found): start and size of windows, counted in lines with a word, that occurred before.
+    """(doc_id, version, found): start and size of windows, counted in lines with a word, that occurred before.
 
-    Documents are ordered by doc_id, lines by place; the first occurrence is not listed.
+    Documents are ordered by doc_id, lines by place; the first occurrence is not listed. Different texts under one id are
+    versions, told apart and ordered by a hash of the text.
     """
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", _lines(F.col("text"))["line"].alias("lines"))
-    placed = lines.select("doc_id", "lines", F.inline(_windows(long_words)))
-    windows = stage(placed.select("doc_id", "start", "size", *_key(F.slice("lines", F.col("start") + 1, F.col("size")))), "windows")
+    known = docs.where("doc_id is not null and text is not null")
+    lines = known.select("doc_id", version(F.col("text")).alias("version"), _lines(F.col("text"))["line"].alias("lines"))
+    placed = lines.select("doc_id", "version", "lines", F.inline(_windows(long_words)))
+    windows = stage(placed.select("doc_id", "version", "start", "size", *_key(F.slice("lines", F.col("start") + 1, F.col("size")))), "windows")
     # Partial minima and counts are combined before the shuffle, so a frequent window is one row per task.
     repeated = stage(
         windows.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "start")).alias("first"))
         .where("n > 1")
         .select("h1", "h2", "first"),
         "repeated",
     )
-    later = windows.join(repeated.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
+    later = windows.join(repeated.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "version", "start") > F.col("first"))
     # Through a table, so that the join stands alone and its frequent keys can be split.
-    return stage(later.select("doc_id", "start", "size"), "later").groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("found"))
+    return stage(later.select("doc_id", "version", "start", "size"), "later").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "size")).alias("found"))
 
 
 def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
@@ -73,14 +80,15 @@ def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     Windows are three consecutive lines, blank ones skipped, outer white space ignored; a text of fewer lines is one
     window. With `long_words`, one or two consecutive lines of more words than that are windows too. Every window that occurred before, in this or an earlier document by doc_id, is covered; all covered lines
     go, also where windows overlap. Blank lines and the others stay as they were. A text all of
-    whose lines go becomes empty. Null texts and rows without an id stay unchanged; rows that share an id count as one
-    document, so copies of a row are treated alike. Columns named n_lines and n_removed are replaced.
+    whose lines go becomes empty. Null texts and rows without an id stay unchanged. Rows of one id and text count as one document, so copies of a row are treated alike;
+    different texts under one id are documents of their own, ordered by a hash. Columns named n_lines and n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     kept_names = docs.columns
-    found = repeated_windows(docs.select("doc_id", "text"), long_words).withColumnsRenamed({"doc_id": "__id", "found": "__found"})
+    found = repeated_windows(docs.select("doc_id", "text"), long_words).withColumnsRenamed({"doc_id": "__id", "version": "__version", "found": "__found"})
     # Both joined tables grow with the corpus, so neither is broadcast at any size.
-    joined = docs.join(found.hint("merge"), docs["doc_id"] == found["__id"], "left").drop("__id")
+    same = (docs["doc_id"] == found["__id"]) & (version(docs["text"]) == found["__version"])
+    joined = docs.join(found.hint("merge"), same, "left").drop("__id", "__version")
     lines = F.split("text", "\n", -1)
     worded = joined.withColumn("__places", F.when(F.col("text").isNotNull(), _lines(F.col("text"))["place"]))
     covered = F.array_distinct(F.flatten(F.transform("__found", lambda w: F.slice("__places", w["start"] + 1, w["size"]))))
