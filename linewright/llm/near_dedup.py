@@ -259,11 +259,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = _links(salted.select(F.struct("center", "salt").alias("block"), "doc_id", F.lit(True).alias("is_query")), sets, percent)
     wide = spread.where("salts > 1").select("center")
     links = first if wide.isEmpty() else _across_blocks(asked, wide, first, sets, percent)
-    joined = stage(components(links), "components")
-    # Every row again: the class of its set, then the component of the class.
-    located = sketch.select("doc_id", "n_shingles", "digest").join(_grows(copies), "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first")
+    # Every row again with the class of its set; the classes of an id's rows hang together by that id.
+    located = stage(
+        sketch.select("doc_id", "n_shingles", "digest").join(_grows(copies), "digest", "left").select(
+            "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first")
+        ),
+        "located",
     )
+    several = located.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("doc_id")
+    tied = located.join(_grows(several), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    joined = stage(components(links.unionByName(tied)), "components")
     final = located.join(_grows(joined), F.col("first") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first"))
     return final.select(

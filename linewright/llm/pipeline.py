@@ -40,10 +40,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates by five words and a similarity of 0.8: the document with the least id of a group stays.
 
-    Of rows that share an id one stays; rows without an id all stay.
+    Of rows that share an id one stays, the least by a hash of all columns; rows without an id all stay.
     """
     kept = near_duplicates(docs, width=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    some = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
+    named = some.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
     return named.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
