@@ -15,8 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..staging import stage
 from .folds import held_out, labelled_sample, sampled_texts
 
 # General insults, with no claim to be complete; the labels add what a corpus uses.
@@ -30,8 +31,6 @@ EXCEPTIONS = (
 )
 PER_CLASS = 4000
 MIN_STEM, MAX_STEM = 4, 10
-# Stems that the driver weighs, the most frequent in toxic texts first; significance asks for far more than the least of them has.
-LEXICON_CANDIDATES = 20000
 _END = "$"
 
 # Letters of other scripts that look Latin, digits in place of letters; i, l and 1 are one.
@@ -95,6 +94,14 @@ def evidence(a: int, c: int, base: float) -> float:
     return n * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if c else 0.0))
 
 
+def _evidence(base: float) -> Column:
+    """`evidence` of the columns toxic and clean; null where no text is toxic."""
+    n = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / n
+    against = F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return F.when((F.col("toxic") > 0) & (share > base), n * (share * F.log(share / base) + against))
+
+
 def choose(counts: Sequence[tuple[str, int, int]], toxic: int, clean: int, n_stems: int) -> dict[str, float]:
     """Weights of the stems that pass: significant against all that were tried, rarely clean, and not better told by a longer one."""
     base = toxic / max(1, toxic + clean)
@@ -232,18 +239,22 @@ def score_toxicity(
     general list decides. Repeated rows score alike; other columns are ignored.
     """
     sample, counts = labelled_sample(labels, label, per_class)
-    texts = sampled_texts(docs, sample)
-    toxic, clean = (min(counts.get(c, 0), per_class) for c in (1, 0))
+    # A text counts once, however many rows of the sample's ids have it.
+    texts = stage(sampled_texts(docs, sample).select("text", "label").distinct(), "sample")
+    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = (sizes.get(c, 0) for c in (1, 0))
     weights = choose([], toxic, clean, 0)
     if toxic and clean:
         tried = texts.mapInArrow(_count_stems, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(
             F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
         )
-        # At most the stems of the bounded sample come back, and of those only the telling ones.
-        telling = tried.where("(toxic >= 3 and toxic >= 9 * clean)").orderBy(F.desc("toxic"), "stem").limit(LEXICON_CANDIDATES)
+        tried = stage(tried, "stems")
+        n_stems = tried.count()
+        # What passes the test of significance is a lexicon; its size is bounded by the sample's texts.
+        telling = tried.where((F.col("toxic") >= 9 * F.col("clean")) & (_evidence(toxic / (toxic + clean)) > math.log(max(2, n_stems)) + 3))
         seeds = tried.where(F.col("stem").isin(*map(_skeleton_end, SEED)))
         rows = {r["stem"]: (r["stem"], r["toxic"], r["clean"]) for r in telling.unionByName(seeds).collect()}
-        weights = choose(list(rows.values()), toxic, clean, 1_000_000)
+        weights = choose(list(rows.values()), toxic, clean, n_stems)
     lexicon, phrases = tuple(sorted(weights.items())), tuple(exceptions)
     known = texts.mapInArrow(_measure(lexicon, phrases, ("label",)), "label int, sum double, density double, matches bigint").collect()
     x = np.array([(r["sum"], r["density"]) for r in known]).reshape(-1, 2)
