@@ -51,6 +51,8 @@ AGAINST = r"(?i)(?:version|figure|page|section|isbn|order no)\W*$"
 NEAR_CHARS = 24
 LABELERS = ("regex", "gazetteer", "context")
 _BLOCK = 256
+# Spans of a group, groups of a group of groups.
+_SPANS = 64
 
 
 def _sum(items: Column) -> Column:
@@ -164,9 +166,41 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select("doc_id", F.concat(*[_spans(text, kind) for kind in KINDS]).alias("spans"))
     # An added candidate that meets a verified base span, or a password that is also a secret, gives way.
-    own = lambda s: F.filter("spans", lambda b: (b["kind"] < s["kind"]) & (b["base"] | (b["kind"] == KINDS.index("secret"))) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.lit(len(BASE_KINDS))
-    return found.withColumn("spans", F.filter("spans", lambda s: (s["kind"] < extra) | (F.size(own(s)) == 0)))
+    secret = F.lit(KINDS.index("secret"))
+
+    def resolved(spans: Column) -> Column:
+        base = _grouped(F.filter(spans, lambda s: s["base"] & (s["kind"] < len(BASE_KINDS))))
+        keys = _grouped(F.filter(spans, lambda s: s["kind"] == secret))
+
+        def apart(base: Column) -> Column:
+            return bound(keys, lambda keys: F.filter(spans, lambda s: (s["kind"] < len(BASE_KINDS)) | ~(_meets(base, s) | ((s["kind"] > secret) & _meets(keys, s)))))
+
+        return F.when(F.exists(spans, lambda s: s["kind"] >= len(BASE_KINDS)), bound(base, apart)).otherwise(spans)
+
+    return found.withColumn("spans", bound(F.col("spans"), resolved))
+
+
+def _grouped(spans: Column) -> Column:
+    """(start, end, items) of groups of groups of spans in order of their starts, so that a search looks into few of them."""
+
+    def chunked(items: Column) -> Column:
+        def chunk(at: Column) -> Column:
+            part = F.slice(items, at * _SPANS + 1, F.lit(_SPANS))
+            return bound(part, lambda p: F.struct(p[0]["start"].alias("start"), F.array_max(F.transform(p, lambda x: x["end"])).alias("end"), p.alias("items")))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.ceil(F.size(items) / _SPANS).cast("int")), lambda at: at * _SPANS < F.size(items)), chunk)
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return bound(bound(ordered, chunked), chunked)
+
+
+def _meets(groups: Column, span: Column) -> Column:
+    """Whether a span overlaps one of grouped spans."""
+
+    def over(x: Column) -> Column:
+        return (x["start"] < span["end"]) & (span["start"] < x["end"])
+
+    return F.exists(groups, lambda g: over(g) & F.exists(g["items"], lambda h: over(h) & F.exists(h["items"], over)))
 
 
 def estimate(patterns: Sequence[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], list[tuple[float, float]], float]:
