@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Examples whose tables are broadcast: lines of text, one each.
+MAX_BROADCAST = 10_000
+
 
 def template_mismatches(predicted: DataFrame, k: int = 5) -> DataFrame:
     """First k template-labelled lines whose predicted template differs."""
@@ -45,14 +48,19 @@ def false_merges(predicted: DataFrame, cells: DataFrame, k: int = 5) -> DataFram
     return _first_pairs(predicted, cells, "predicted_group_id", "expected_group_id", k)
 
 
+def _small(rows: DataFrame, k: int) -> DataFrame:
+    """A table of at most k rows as the side of a join."""
+    return F.broadcast(rows) if k <= MAX_BROADCAST else rows.hint("merge")
+
+
 def _first_pairs(predicted: DataFrame, cells: DataFrame, same: str, differing: str, k: int) -> DataFrame:
     """First k pairs i < j that agree on `same` and differ on `differing`.
 
     Split each `same` group into cells by `differing`, and let S be the second largest of
     the cells' last indexes. A line i has a partner to its right exactly if i <= S: up to S
     at least two cells still go on, after it only one does. The k smallest such lines lie
-    in the k groups that start first, so two broadcasts of k rows find all answers and no
-    line is shuffled.
+    in the k groups that start first, so two tables of k rows find all answers. Up to MAX_BROADCAST
+    rows they are broadcast and no line is shuffled; beyond that lines are joined by key.
     """
     labelled = F.col("expected_group_id").isNotNull()
     extents = (
@@ -70,7 +78,7 @@ def _first_pairs(predicted: DataFrame, cells: DataFrame, same: str, differing: s
     groups = starts.join(limits, same).orderBy("start").limit(k).select(same, "limit")
     lines = predicted.where(labelled)
     left = (
-        lines.join(F.broadcast(groups), same)
+        lines.join(_small(groups, k), same)
         .where(F.col("index") <= F.col("limit"))
         .orderBy("index")
         .limit(k)
@@ -81,7 +89,7 @@ def _first_pairs(predicted: DataFrame, cells: DataFrame, same: str, differing: s
             F.col("raw_text").alias("left_text"),
         )
     )
-    pairs = lines.join(F.broadcast(left), same).where(
+    pairs = lines.join(_small(left, k), same).where(
         (F.col(differing) != F.col("_left")) & (F.col("index") > F.col("left_index"))
     )
     return (

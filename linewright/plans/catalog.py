@@ -166,16 +166,28 @@ def document_records(spark: SparkSession, d: str) -> DataFrame:
     return files.parse_records(lines, "documents", reference_year=YEAR)
 
 
-def eval_local(spark: SparkSession, d: str) -> DataFrame:
-    """Lines numbered without blanks, labels in label-file form with several per line, through the loader."""
+def _label_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of event lines by index, several for some."""
     labels = corpus.event_labels(spark, d).select(
         F.col("index"),
         F.explode(F.when(F.col("index") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("position"),
         F.col("expected_group_id"),
         F.col("expected_template"),
     )
-    versions = labels.withColumn("expected_group_id", F.concat_ws("#", "expected_group_id", "position"))
-    last = last_wins(versions, ["index"], ["position"])
+    return labels.withColumn("expected_group_id", F.concat_ws("#", "expected_group_id", "position"))
+
+
+def eval_local_file(spark: SparkSession, d: str) -> DataFrame:
+    """As eval_local, with the labels in a written label file."""
+    root = corpus.write_line_set(spark, d)
+    corpus.write_label_file(_label_versions(spark, d), f"{root}/{datasets.LABELS_FILE}")
+    loaded = datasets.load_labelled(spark, root)
+    return loaded.records.select("index", "raw_text", "expected_group_id", "expected_template")
+
+
+def eval_local(spark: SparkSession, d: str) -> DataFrame:
+    """Lines numbered without blanks, labels in label-file form with several per line, through the loader."""
+    last = last_wins(_label_versions(spark, d), ["index"], ["position"])
     loaded = datasets.load_labelled(spark, corpus.write_line_set(spark, d), "local", last)
     return loaded.records.select("index", "raw_text", "expected_group_id", "expected_template")
 
@@ -393,6 +405,7 @@ QUERIES: dict[str, Query] = {
     "log_records": log_records,
     "document_records": document_records,
     "eval_local": eval_local,
+    "eval_local_file": eval_local_file,
     "eval_synthetic": eval_synthetic,
     "strip_lines": strip_lines,
     "strip_document_lines": strip_document_lines,

@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators.labels import label_by_file_line, label_by_index, last_wins
 from ..operators.numbering import dense_index, index_in_place
 from . import files, hadoop
+from .label_json import read_label_document
 
 # File names of the two layouts.
 LINES_FILE = "logs.txt"
@@ -33,7 +34,7 @@ def load_labelled(
 ) -> LabelledLines:
     """Load a labelled set; `auto` looks at which files exist.
 
-    Label files are single JSON documents, which one task has to parse. Larger label sets
+    Label files are single JSON documents, parsed in parallel (see label_json). Labels
     can be passed as a frame with the same columns instead.
     """
     mode = resolve_mode(spark, path, mode)
@@ -52,10 +53,8 @@ def resolve_mode(spark: SparkSession, path: str, mode: str) -> str:
 
 
 def _read_label_file(spark: SparkSession, path: str, schema) -> tuple[str | None, DataFrame]:
-    document = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
-    first = document.select("name").first()
-    labels = document.select(F.posexplode("records").alias("position", "item"))
-    return (first["name"] if first else None), labels.select("position", "item.*")
+    record = schema["records"].dataType.elementType
+    return read_label_document(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in record))
 
 
 def _required_number(name: str):

@@ -334,6 +334,8 @@ select method, total_lines, changed_lines, changed_lines / total_lines * 100.0 a
 from tm join pm using (method) cross join nm""",
 }
 
+ORACLE["eval_local_file"] = ORACLE["eval_local"]
+
 _STORED = {
     "summary": "benchmark_summary",
     "rule_counts": "rule_counts",

@@ -126,3 +126,16 @@ def test_normalization_scores(texts):
     assert tuple(metrics.normalization_metrics(empty).first()) == (0, 0, 0.0)
     assert metrics.replacement_counts(empty, rules).count() == 0
     assert metrics.replacement_counts(empty, []).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_many_examples_are_joined_by_key(spark, monkeypatch, most):
+    """All false splits of a set, with and without a broadcast."""
+    monkeypatch.setattr(errors, "MAX_BROADCAST", most)
+    rows = [(i, f"line {i}", f"g{i % 7}", f"p{i % 3}") for i in range(60)]
+    lines = spark.createDataFrame(rows, "index bigint, raw_text string, expected_group_id string, predicted_group_id string")
+    cells = lines.groupBy("expected_group_id", "predicted_group_id").agg(F.min("index").alias("first_index"), F.max("index").alias("last_index"))
+    found = [(r["left_index"], r["right_index"]) for r in errors.false_splits(lines, cells, 5000).collect()]
+    assert found == [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 7 == j % 7 and i % 3 != j % 3]
+    plan = errors.false_splits(lines, cells, 5000)._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == bool(most)
