@@ -1,14 +1,19 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-Ordinary text goes to the tokenizer as it is: its pre-tokenizer cuts it into short pieces. A piece that stays
-long (a run of letters, digits, signs or white space) is cut into leaves; leaves are encoded in parallel and
-joined pairwise up a tree. At each join a window of tokens around the seam is encoded again and grown until it
-has a token in common, at the same place, with the encoding on either side.
+A text is cut into leaves of equal length, wherever that falls; leaves are encoded on their own and joined pairwise up a
+tree. At each join a window around the seam is encoded again and grown until both sides agree with it. The same is done one level
+below: a piece that stays long after splitting (a run of letters, digits, signs or white space) is cut into leaves of
+byte characters, which are joined by tokens.
 
-Short pieces are merged by the faster of two libraries where the file allows it: if the merges of the file are in the order of
-their ids and its splitting is the usual byte-level one, both give the same ids.
+Leaves are merged by the faster of two libraries where the file allows it: if the merges of the file are in the order of
+their ids and its splitting is the usual byte-level one, both give the same ids. Other files split texts in ways that are not
+known here: their texts go to the tokenizer as they are, and only long pieces are joined by trees.
 
-Why that is exact: a token sequence is the BPE encoding of its text if and only if every two adjacent
+Why joins of texts are exact: splitting reads from left to right and looks at nothing before the place where a piece begins, and
+no piece holds a letter or digit followed by a space. So such a place is an edge of pieces in either side, in the window and in
+the whole text, and what stands between two of them is encoded alike in all of these.
+
+Why joins of tokens are exact: a token sequence is the BPE encoding of its text if and only if every two adjacent
 tokens are the encoding of their own text. In the joined sequence every adjacent pair stands either in one side's
 encoding or in the window's, since they meet in common tokens.
 """
@@ -16,7 +21,7 @@ encoding or in the window's, since they meet in common tokens.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +32,8 @@ from .arrow import append
 
 # A piece of more characters than this is encoded by tree concatenation.
 LEAF = 4096
+# A text of more characters than this is.
+PART = 512
 # Fixed value: how byte-level tokenizers of this kind cut text into pieces.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW = 16
@@ -42,7 +49,7 @@ def default_path() -> str:
 class ByteBpe:
     """One tokenizer file, loaded once per Python worker."""
 
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, part: int = PART):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -50,11 +57,14 @@ class ByteBpe:
         self.whole.no_padding()
         # The merges alone: a string of byte characters is one piece.
         self.merges = Tokenizer(self.whole.model)
-        self.leaf, self.window = leaf, window
+        self.leaf, self.window, self.part = leaf, window, part
         size = self.whole.get_vocab_size()
         self.lengths = [len(self.whole.id_to_token(i) or "") for i in range(size)]
         self.tokens = [self.whole.id_to_token(i) or "" for i in range(size)]
         self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.sizes = list(self.lengths)
+        for token, i in self.special.items():
+            self.sizes[i] = len(token.encode())
         self.fast = self._by_rank(path)
 
     def _by_rank(self, path: str):
@@ -69,7 +79,7 @@ class ByteBpe:
             and split.get("type") == "ByteLevel"
             and split.get("use_regex")
             and not split.get("add_prefix_space")
-            and all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in rules["added_tokens"])
+            and all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or " " in t["content"]) for t in rules["added_tokens"])
             and not rules["model"].get("ignore_merges")
         )
         vocabulary = {t: i for t, i in rules["model"]["vocab"].items() if t not in self.special}
@@ -90,7 +100,7 @@ class ByteBpe:
         long = [self._has_long_piece(t) for t in texts]
         short = [t for t, x in zip(texts, long) if not x]
         if self.fast:
-            plain = iter([self.fast.encode(t, allowed_special="all") for t in short])
+            plain = iter([self.text_tree(t) for t in short])
         else:
             plain = iter([x.ids for x in self.whole.encode_batch_fast(short, add_special_tokens=False)])
         return [self._encode_long(t) if x else next(plain) for t, x in zip(texts, long)]
@@ -98,6 +108,40 @@ class ByteBpe:
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
+    def text_tree(self, text: str) -> list[int]:
+        """Ids of one text, by leaves of `part` characters that are joined pairwise."""
+        cuts = [*range(0, len(text), self.part), len(text)] if text else [0, 0]
+        level = [(a, b, self.fast.encode(text[a:b], allowed_special="all")) for a, b in zip(cuts, cuts[1:])]
+        while len(level) > 1:
+            pairs = zip(level[::2], level[1::2])
+            level = [self._join_texts(text, *pair) for pair in pairs] + (level[-1:] if len(level) % 2 else [])
+        return level[0][2]
+
+    def _join_texts(self, text: str, left: tuple[int, int, list[int]], right: tuple[int, int, list[int]]) -> tuple[int, int, list[int]]:
+        (start, seam, before), (_, end, after) = left, right
+        width = self.window
+        while True:
+            # The outermost edges within the window, or the ends of the sides.
+            low, high = max(start, seam - width), min(end, seam + width)
+            low = low if low == start else _edge(text, low, seam)
+            high = high if high == end else _last_edge(text, seam, high)
+            if low is not None and high is not None:
+                kept = self._fitting(reversed(before), len(text[low:seam].encode()))
+                dropped = self._fitting(after, len(text[seam:high].encode()))
+                if kept is not None and dropped is not None:
+                    seen = self.fast.encode(text[low:high], allowed_special="all")
+                    return start, end, before[: len(before) - kept] + seen + after[dropped:]
+            width *= 2
+
+    def _fitting(self, ids: Iterable[int], size: int) -> int | None:
+        """How many of the ids make up `size` bytes; None if one stands across that place."""
+        n = 0
+        for i in ids if size else ():
+            n, size = n + 1, size - self.sizes[i]
+            if size <= 0:
+                break
+        return None if size else n
+
     def _has_long_piece(self, text: str) -> bool:
         # Pieces hold a space only in front or in runs of white space.
         return len(text) > self.leaf and (max(map(len, text.split(" "))) >= self.leaf - 1 or " " * self.leaf in text)
@@ -180,6 +224,22 @@ class ByteBpe:
         return keep_left + seen[from_left:to_right] + keep_right
 
 
+def _edge(text: str, low: int, high: int) -> int | None:
+    """The first place from `low` up to `high` where a space comes after a letter or digit."""
+    at = text.find(" ", low, high + 1)
+    while at >= 0 and not (at and text[at - 1].isalnum()):
+        at = text.find(" ", at + 1, high + 1)
+    return at if at >= 0 else None
+
+
+def _last_edge(text: str, low: int, high: int) -> int | None:
+    """The last such place."""
+    at = text.rfind(" ", low, high + 1)
+    while at >= 0 and not (at and text[at - 1].isalnum()):
+        at = text.rfind(" ", low, at)
+    return at if at >= 0 else None
+
+
 @lru_cache(maxsize=4)
 def loaded(path: str) -> ByteBpe:
     return ByteBpe(path)

@@ -179,6 +179,12 @@ def test_tree_concatenation_is_exact(library):
         for _ in range(60):
             text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 150)))
             assert small.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
+    # Texts of ordinary words, cut at any place: contractions, runs of white space and special tokens across the seams.
+    parts = bpe.ByteBpe(bpe.default_path(), part=7, window=1)
+    for pool in ("ab c", "a 1'sl", "'ls dvret", "  \n\ta", "!? a1", "日 é1 '", "aé  1 \x1c\u3000x", "_ -a"):
+        for _ in range(200):
+            drawn = [rng.choice(["<|endoftext|>", "'ll", " ", " don't"]) if rng.random() < 0.1 else rng.choice(pool) for _ in range(rng.randint(0, 80))]
+            assert parts.encode(["".join(drawn)])[0] == library.encode("".join(drawn), add_special_tokens=False).ids
     small.fast = None
     assert small.encode(["plain text"])[0] == library.encode("plain text", add_special_tokens=False).ids
 
