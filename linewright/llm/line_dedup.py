@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..staging import stage
 
 WINDOW = 3
+# One or two repeated lines are a passage if they hold more words than this.
+LONG_WORDS = 50
 # White space of the word definition.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -51,7 +53,7 @@ def version(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def repeated_windows(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+def repeated_windows(docs: DataFrame, long_words: int | None = LONG_WORDS) -> DataFrame:
     """(doc_id, version, found): start and size of windows, counted in lines with a word, that occurred before.
 
     Documents are ordered by doc_id, lines by place; the first occurrence is not listed. Different texts under one id are
@@ -74,11 +76,11 @@ def repeated_windows(docs: DataFrame, long_words: int | None = None) -> DataFram
     return stage(later.select("doc_id", "version", "start", "size"), "later").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "size")).alias("found"))
 
 
-def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int | None = LONG_WORDS) -> DataFrame:
     """Every row of `docs` with repeated passages removed from `text`, plus n_lines and n_removed.
 
     Windows are three consecutive lines, blank ones skipped, outer white space ignored; a text of fewer lines is one
-    window. With `long_words`, one or two consecutive lines of more words than that are windows too. Every window that occurred before, in this or an earlier document by doc_id, is covered; all covered lines
+    window. One or two consecutive lines of more words than `long_words` are windows too, unless that is None. Every window that occurred before, in this or an earlier document by doc_id, is covered; all covered lines
     go, also where windows overlap. Blank lines and the others stay as they were. A text all of
     whose lines go becomes empty. Null texts and rows without an id stay unchanged. Rows of one id and text count as one document, so copies of a row are treated alike;
     different texts under one id are documents of their own, ordered by a hash. Columns named n_lines and n_removed are replaced.
@@ -107,19 +109,22 @@ def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     )
 
 
-ORACLE = """
+ORACLE = r"""
 with split as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place
                from documents where doc_id is not null and text is not null),
 trimmed as (select doc_id, place, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from split),
 worded as (select *, row_number() over (partition by doc_id order by place) as k, count(*) over (partition by doc_id) as n
            from trimmed where bare <> ''),
-windows as (select a.doc_id, a.k, a.n, a.bare as l1, b.bare as l2, c.bare as l3
-            from worded a left join worded b on a.doc_id = b.doc_id and b.k = a.k + 1
-            left join worded c on a.doc_id = c.doc_id and c.k = a.k + 2
-            where a.k = 1 or a.k <= a.n - 2),
+threes as (select a.doc_id, a.k, a.n, a.bare as l1, b.bare as l2, c.bare as l3,
+                  len(regexp_split_to_array(a.bare, '[ \t\n\x0B\f\r]+')) as w1, len(regexp_split_to_array(b.bare, '[ \t\n\x0B\f\r]+')) as w2
+           from worded a left join worded b on a.doc_id = b.doc_id and b.k = a.k + 1
+           left join worded c on a.doc_id = c.doc_id and c.k = a.k + 2),
+windows as (select doc_id, k, 3 as size, l1, l2, l3 from threes where k = 1 or k <= n - 2
+            union all select doc_id, k, 2, l1, l2, null from threes where n > 2 and l2 is not null and w1 + w2 > 50
+            union all select doc_id, k, 1, l1, null, null from threes where n > 1 and w1 > 50),
 ranked as (select *, row_number() over (partition by l1, l2, l3 order by doc_id, k) as occurrence from windows),
 gone as (select distinct w.doc_id, w.place from worded w join ranked r
-         on r.doc_id = w.doc_id and r.occurrence > 1 and w.k between r.k and r.k + 2),
+         on r.doc_id = w.doc_id and r.occurrence > 1 and w.k between r.k and r.k + r.size - 1),
 rest as (select t.doc_id, string_agg(t.line, chr(10) order by t.place) as text
          from trimmed t left join gone g on t.doc_id = g.doc_id and t.place = g.place where g.place is null group by t.doc_id),
 counts as (select doc_id, count(*) as n_lines from worded group by doc_id),
