@@ -2,7 +2,8 @@
 
 RE2 has no look-around, so the path, float and integer rules are restated with a captured
 neighbour or over a token list; pair scores and pair examples are brute-force self joins.
-The event lines are ASCII, where RE2's classes equal the engine's.
+The event lines are ASCII, where RE2's classes equal the engine's. For document lines, words of any script are
+put between two marks, which stand for the Unicode word boundary that RE2 lacks.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _numeric(k: str, rule: tuple[str, str]) -> tuple[str, str]:
     text = f"""coalesce(array_to_string(list_transform(range(1, len({k}) + 1), lambda j:
       case when regexp_full_match({k}[j], '{pattern}') then '{replacement}'
            when {k}[j] in ('+', '-') and j < len({k}) and regexp_full_match({k}[j + 1], '{pattern}')
-                and (j = 1 or not regexp_matches({k}[j - 1], '[\\w.]')) then ''
+                and (j = 1 or not regexp_matches({k}[j - 1], '[\\w\\p{{L}}\\p{{N}}.]')) then ''
            else {k}[j] end), ''), '')"""
     return text, f"len(list_filter({k}, lambda x: regexp_full_match(x, '{pattern}')))"
 
@@ -89,6 +90,52 @@ def _steps(base: str) -> str:
     return ",\n".join(steps)
 
 
+# A word character of any script, and the rules over text whose words stand between the marks \x01 and \x02.
+_W = r"\p{L}\p{N}_"
+_HEXES = "[0-9a-fA-F]"
+_MARKED = (
+    (r"\x01(?:\p{Nd}{1,3}\x02\.\x01){3}\p{Nd}{1,3}\x02", "<IP>"),
+    (r"\x02-\x01".join([r"\x01" + _HEXES + "{8}", *[_HEXES + "{4}"] * 3, _HEXES + r"{12}\x02"]), "<UUID>"),
+    (r"\x010x" + _HEXES + r"+\x02", "<HEX>"),
+    (
+        r"\x01\p{Nd}+(?:\x02\.\x01\p{Nd}+)?(?:\x02[\s\x0b\x1c-\x1f\x{85}\p{Z}]\x01)?"
+        r"(?:ms|s|sec|secs|seconds|m|min|mins|minutes|h|hr|hrs|hours)\x02",
+        "<DURATION>",
+    ),
+    (rf"(^|[^\x02])/[\x01\x02{_W}.\-/]+", r"\1<PATH>"),
+)
+# An end before a word that the class does not hold takes that word's mark with it: no later match could begin there.
+_MARKED_ID = (r"\x01[A-Za-z0-9](?:[\x01\x02]?[A-Za-z0-9_-]){11,}[\x01\x02]", "<ID>")
+
+
+def _unicode_tokens(t: str) -> str:
+    return f"regexp_extract_all({t}, '[{_W}.]+|[^{_W}.]')"
+
+
+def _marked(t: str, rule: tuple[str, str]) -> tuple[str, str]:
+    text, count = _plain(f"regexp_replace({t}, '([{_W}]+)', chr(1) || '\\1' || chr(2), 'g')", rule)
+    return f"translate({text}, chr(1) || chr(2), '')", count
+
+
+def _unicode_steps(base: str) -> str:
+    """The CTEs of `_steps` for text of any script."""
+    steps = []
+    previous, column = base, "raw_text"
+    for number, rule in enumerate(_MARKED, 1):
+        text, count = _marked(column, rule)
+        steps.append(f"n{number} as (select *, {text} as t{number}, {count} as c{number} from {previous})")
+        previous, column = f"n{number}", f"t{number}"
+    steps.append(f"k6 as (select *, {_unicode_tokens('t5')} as kk6 from n5)")
+    text, count = _numeric("kk6", (r"\p{Nd}+\.\p{Nd}+", "<FLOAT>"))
+    steps.append(f"n6 as (select *, {text} as t6, {count} as c6 from k6)")
+    text, count = _marked("t6", _MARKED_ID)
+    steps.append(f"n7 as (select *, {text} as t7, {count} as c7 from n6)")
+    steps.append(f"k8 as (select *, {_unicode_tokens('t7')} as kk8 from n7)")
+    text, count = _numeric("kk8", (r"\p{Nd}+", "<INT>"))
+    steps.append(f"norm as materialized (select *, {text} as normalized_text, {count} as c8 from k8)")
+    return ",\n".join(steps)
+
+
 _NAMES = ("ip_address", "uuid", "hex_value", "duration", "file_path", "float_value", "long_id", "integer")
 
 _SIGNATURE = r"""array_to_string(list_transform(regexp_split_to_array(normalized_text, '\s+'), lambda w:
@@ -188,6 +235,8 @@ _DOC_LINES = f"""docs as (
   from (select *, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as parts from documents)),
 dx as (select *, trim(value, {_SPACES}) as raw_text from docs where trim(value, {_SPACES}) <> '')"""
 
+_DOC_NORM = f"with {_DOC_LINES},\n{_unicode_steps('dx')}"
+
 
 def _perturb() -> str:
     """Rebuild each line from its parts and digest-made tokens, one token class at a time."""
@@ -266,6 +315,12 @@ select row_number() over (order by 'log=' || log, number) as index, trim(value,
     "normalize_trace": f"""{_NORM}
 select event_id, normalized_text, normalized_text <> raw_text as changed,
   {_json_counts([(name, f'c{i}') for i, name in enumerate(_NAMES, 1)])} as replacement_counts from norm""",
+    "normalize_documents": f"""{_DOC_NORM}
+select file_path, line_number, normalized_text, normalized_text <> raw_text as changed,
+  {_json_counts([(name, f'c{i}') for i, name in enumerate(_NAMES, 1)])} as replacement_counts from norm""",
+    "document_templates": f"""{_DOC_NORM}, signed as (select {_SIGNATURE} as template, file_path, line_number from norm)
+select template, count(*) as lines, (min((file_path, line_number)))[1] as first_file, (min((file_path, line_number)))[2] as first_line
+from signed group by template""",
     "rule_ip": _single_rule(_IP),
     "rule_uuid": _single_rule(_UUID),
     "rule_hex": _single_rule(_HEX),
