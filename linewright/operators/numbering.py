@@ -30,6 +30,20 @@ def _meets_all(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> tuple[
     return rows.join(F.broadcast(table) if near else table, list(keys)), near
 
 
+def _running_offsets(runs: DataFrame, order: Sequence[Column], name: str = "offset") -> DataFrame:
+    """Add to each row the sum of `n` over the rows before it in a total order; the rows are staged once.
+
+    Prefix sums in two levels: within ranges of the order, and over the ranges, of which there is one per shuffle
+    partition. No task sees more rows than a range holds.
+    """
+    ranges = stage(runs.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.sum("n").alias("n"))
+    starts = sizes.select("_range", _before(Window.orderBy("_range")).alias("_start"))
+    within = _before(Window.partitionBy("_range").orderBy(*order)).alias("_within")
+    summed = ranges.select("*", within).join(F.broadcast(starts), "_range")
+    return summed.withColumn(name, F.col("_start") + F.col("_within")).drop("_range", "_start", "_within")
+
+
 def physical_line_numbers(staged: DataFrame) -> tuple[DataFrame, bool]:
     """Number the lines of each file from 1, given (uri, block_start, pos) of a staged scan; and whether no line moved.
 
@@ -62,8 +76,8 @@ def index_in_place(
     runs = placed.groupBy(*split, "_part").agg(
         F.count("*").alias("n"), F.min("_position").alias("_first_position"), first.alias("first")
     )
-    shift = (_before(Window.orderBy(*order)) - F.col("_first_position") + 1).alias("_shift")
-    offsets = stage(runs.select(key, "_part", shift), "runs")
+    shift = (F.col("offset") - F.col("_first_position") + 1).alias("_shift")
+    offsets = stage(_running_offsets(runs, order).select(key, "_part", shift), "runs")
     met, _ = _meets_all(placed.select("*", key), offsets, ["_split", "_part"])
     return met.withColumn(name, F.col("_position") + F.col("_shift")).drop("_split", "_part", "_shift", "_position")
 

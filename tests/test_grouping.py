@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from linewright.operators import grouping
 from linewright.operators.labels import join_predictions, last_wins
-from linewright.operators.numbering import dense_index, rank_by_first_index
+from linewright.operators.numbering import _running_offsets, dense_index, rank_by_first_index
 
 
 def normalized(spark, values):
@@ -85,3 +85,17 @@ def test_predictions_join_and_missing_ones_fail(spark):
 def test_template_counts(spark):
     lines = spark.createDataFrame([(3, "a"), (1, "b"), (2, "a")], "index bigint, template string")
     assert {tuple(r) for r in grouping.template_counts(lines).collect()} == {("a", 2, 2), ("b", 1, 1)}
+
+
+def test_running_offsets_sum_in_two_levels(spark):
+    rng = random.Random(3)
+    rows = [(f"f{rng.randrange(40)}", i, rng.randrange(5)) for i in rng.sample(range(1000), 300)]
+    got = _running_offsets(spark.createDataFrame(rows, "file string, start int, n bigint"), [F.col("file"), F.col("start")])
+    expected, total = {}, 0
+    for file, start, n in sorted(rows):
+        expected[file, start] = total
+        total += n
+    assert {(r["file"], r["start"]): r["offset"] for r in got.collect()} == expected
+    assert got.columns == ["file", "start", "n", "offset"]
+    none = _running_offsets(spark.createDataFrame([], "file string, n bigint"), [F.col("file")])
+    assert none.count() == 0
