@@ -9,7 +9,7 @@ posteriors, also from counts, and scores every span as a plain expression. Verif
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,34 +50,47 @@ NEAR = {
 AGAINST = r"(?i)(?:version|figure|page|section|isbn|order no)\W*$"
 NEAR_CHARS = 24
 LABELERS = ("regex", "gazetteer", "context")
-_BLOCK = 256
-# Spans of a group, groups of a group of groups.
-_SPANS = 64
+# Items of a block, blocks of a block of blocks.
+_BLOCK = 32
+# Beyond every text.
+_PAST = 1 << 62
 
 
-def _sum(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def _parts(items: Column, size: int) -> Column:
+    """A list cut into lists of `size`; the list should be bound, as each part takes it anew."""
+    starts = F.filter(F.sequence(F.lit(0), F.ceil(F.size(items) / size).cast("int")), lambda at: at * size < F.size(items))
+    return F.transform(starts, lambda at: F.slice(items, at * size + 1, F.lit(size)))
 
 
-def _offsets(lengths: Column) -> Column:
-    """Sums of all lengths before each place, by blocks, so that long lists don't take quadratic time."""
-
-    def of_blocks(blocks: Column) -> Column:
-        def of_sums(sums: Column) -> Column:
-            return F.flatten(
-                F.transform(
-                    blocks,
-                    lambda block, b: bound(
-                        _sum(F.slice(sums, F.lit(1), b)),
-                        lambda base: F.transform(block, lambda _, i: base + _sum(F.slice(block, F.lit(1), i))),
-                    ),
-                )
-            )
+def _scan(items: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What `add` makes of all items before each place, from `start`; one place more than items, and short lists only."""
+    return F.aggregate(items, F.array(start), lambda sums, x: F.concat(sums, F.array(add(F.element_at(sums, -1), x))))
+
+
+def _before(items: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What `add` makes of all items before each place, for lists of any length.
+
+    A slice copies the whole list it is taken from and a scan copies what it has so far, so both work on blocks, and on
+    blocks of blocks, and time grows with the length.
+    """
 
-        return bound(F.transform(blocks, _sum), of_sums)
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, start, add)
 
-    count = F.ceil(F.size(lengths) / _BLOCK).cast("int")
-    return bound(F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))), of_blocks)
+    def of_wide(wide: Column) -> Column:
+        def of_block(blocks: Column, base: Column) -> Column:
+            scanned = _scan(F.transform(blocks, fold), base, add)
+            return bound(scanned, lambda at: F.flatten(F.transform(blocks, lambda block, j: F.slice(_scan(block, F.get(at, j), add), F.lit(1), F.size(block)))))
+
+        bases = _scan(F.transform(wide, fold), start, add)
+        return bound(bases, lambda at: F.flatten(F.transform(wide, lambda part, i: bound(_parts(part, _BLOCK), lambda blocks: of_block(blocks, F.get(at, i))))))
+
+    return bound(items, lambda items: bound(_parts(items, _BLOCK * _BLOCK), of_wide))
+
+
+def _offsets(lengths: Column) -> Column:
+    """Sums of all lengths before each place."""
+    return _before(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -169,8 +182,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     secret = F.lit(KINDS.index("secret"))
 
     def resolved(spans: Column) -> Column:
-        base = _grouped(F.filter(spans, lambda s: s["base"] & (s["kind"] < len(BASE_KINDS))))
-        keys = _grouped(F.filter(spans, lambda s: s["kind"] == secret))
+        base = _ordered(F.filter(spans, lambda s: s["base"] & (s["kind"] < len(BASE_KINDS))))
+        keys = _ordered(F.filter(spans, lambda s: s["kind"] == secret))
 
         def apart(base: Column) -> Column:
             return bound(keys, lambda keys: F.filter(spans, lambda s: (s["kind"] < len(BASE_KINDS)) | ~(_meets(base, s) | ((s["kind"] > secret) & _meets(keys, s)))))
@@ -180,27 +193,32 @@ def candidates(docs: DataFrame) -> DataFrame:
     return found.withColumn("spans", bound(F.col("spans"), resolved))
 
 
-def _grouped(spans: Column) -> Column:
-    """(start, end, items) of groups of groups of spans in order of their starts, so that a search looks into few of them."""
-
-    def chunked(items: Column) -> Column:
-        def chunk(at: Column) -> Column:
-            part = F.slice(items, at * _SPANS + 1, F.lit(_SPANS))
-            return bound(part, lambda p: F.struct(p[0]["start"].alias("start"), F.array_max(F.transform(p, lambda x: x["end"])).alias("end"), p.alias("items")))
+def _ordered(spans: Column) -> Column:
+    """(starts, reach): the starts of spans in order, and for each place the furthest end before it; a last place ends both."""
+    last = F.struct(F.lit(_PAST).alias("start"), F.lit(_PAST).alias("end"))
+    pairs = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-        return F.transform(F.filter(F.sequence(F.lit(0), F.ceil(F.size(items) / _SPANS).cast("int")), lambda at: at * _SPANS < F.size(items)), chunk)
+    def columns(pairs: Column) -> Column:
+        reach = _before(F.transform(pairs, lambda p: p["end"]), F.lit(-1).cast("bigint"), lambda a, x: F.greatest(a, x))
+        return F.struct(F.transform(pairs, lambda p: p["start"]).alias("starts"), reach.alias("reach"))
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return bound(bound(ordered, chunked), chunked)
+    return bound(F.concat(pairs, F.array(last)), columns)
 
 
-def _meets(groups: Column, span: Column) -> Column:
-    """Whether a span overlaps one of grouped spans."""
+def _meets(ordered: Column, span: Column) -> Column:
+    """Whether a span overlaps one of ordered spans: of those that start before its end, the furthest end tells."""
+    starts = ordered["starts"]
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts))).cast("int"))
 
-    def over(x: Column) -> Column:
-        return (x["start"] < span["end"]) & (span["start"] < x["end"])
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        after = F.get(starts, middle) < span["end"]
+        low, high = F.when(after, middle + 1).otherwise(at["low"]), F.when(after, at["high"]).otherwise(middle)
+        return F.when(at["low"] < at["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(at)
 
-    return F.exists(groups, lambda g: over(g) & F.exists(g["items"], lambda h: over(h) & F.exists(h["items"], over)))
+    whole = F.struct(F.lit(0).alias("low"), (F.size(starts) - 1).alias("high"))
+    place = F.aggregate(halvings, whole, halve, lambda at: at["low"])
+    return F.get(ordered["reach"], place) > span["start"]
 
 
 def estimate(patterns: Sequence[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], list[tuple[float, float]], float]:

@@ -81,7 +81,7 @@ def brute_resolved(spans):
 
 @pytest.mark.parametrize("size", [2, 64])
 def test_spans_give_way_as_by_comparing_all(spark, monkeypatch, size):
-    monkeypatch.setattr(pii, "_SPANS", size)
+    monkeypatch.setattr(pii, "_BLOCK", size)
     rng = random.Random(size)
     parts = ["ab12cd34ef56gh78ij90", "password=ab12cd34ef56gh78ij90", "4111 1111 1111 1111", "x1y2z3a4b5c6d7e8f9@mail.example.com", "pwd: hunter22", "+49 30 1234567 890", "10.0.0.1", "words"]
     texts = [" ".join(rng.choices(parts, k=rng.randrange(0, 80))) for _ in range(30)] + [None, ""]
