@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..staging import stage
+from ..staging import stage, tasks_for
 from .components import components
 from .fingerprints import digest, mixed, shingle_sets
 
@@ -30,6 +30,8 @@ BANDS = 32
 BLOCK_DOCS = 256
 # Shingles of one block of many documents; bounds a task's memory.
 BLOCK_SHINGLES = 1_000_000
+# Rows with a text or its set that a task may well take.
+TEXTS_PER_TASK = 2000
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 4096
 
@@ -163,11 +165,12 @@ def _grows(frame: DataFrame) -> DataFrame:
     return frame.hint("merge")
 
 
-def _links(requests: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(requests: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Compare the documents of each block; requests: (block, doc_id, is_query)."""
     rows = requests.join(_grows(sets), "doc_id").select("block", "doc_id", "is_query", "shingles")
     dealt = rows.repartition("block").sortWithinPartitions("block")
-    return stage(dealt.mapInArrow(_compare(percent), "a bigint, b bigint"), "links")
+    # A block stays in one shuffle partition, and a task takes whole partitions one after the other.
+    return stage(dealt.mapInArrow(_compare(percent), "a bigint, b bigint"), "links", tasks)
 
 
 def _salts(docs: str = "docs", shingles: str = "shingles"):
@@ -176,15 +179,18 @@ def _salts(docs: str = "docs", shingles: str = "shingles"):
     return F.greatest(by_count, by_size, F.lit(1)).cast("int")
 
 
-def _across_blocks(asked: DataFrame, wide: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across_blocks(asked: DataFrame, wide: DataFrame, first: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """Links in blocks and, inside the buckets whose least member has more partners than one block takes, between blocks."""
-    labels = stage(components(first), "labels")
+    spark = asked.sparkSession
+    tasks, compared = tasks_for(spark, most), tasks_for(spark, most, TEXTS_PER_TASK)
+    labels = stage(components(first, most), "labels", tasks)
     members = asked.join(_grows(wide), "center", "left_semi")
     parts = stage(
         members.join(_grows(labels), F.col("doc_id") == F.col("node"), "left").select(
             "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
         ),
         "parts",
+        tasks,
     )
     by_part = parts.groupBy("band", "component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     split = stage(
@@ -204,6 +210,7 @@ def _across_blocks(asked: DataFrame, wide: DataFrame, first: DataFrame, sets: Da
             F.ceil((F.col("docs") - F.col("in_main")) / BLOCK_DOCS).cast("int").alias("rows"),
         ),
         "split",
+        tasks,
     )
     still = parts.join(_grows(split), "band")
     row = F.pmod(F.xxhash64("doc_id"), F.col("rows")).cast("int")
@@ -215,7 +222,7 @@ def _across_blocks(asked: DataFrame, wide: DataFrame, first: DataFrame, sets: Da
         "doc_id", "band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"), F.lit(False).alias("is_query")
     )
     blocks = asking.unionByName(answering).select(F.struct("band", "row", "column").alias("block"), "doc_id", "is_query")
-    return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_links(blocks, sets, percent))
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_links(blocks, sets, percent, compared))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -230,22 +237,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketch = stage(
         docs.mapInArrow(_sketch(width), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "sketch"
     )
+    spark, n = docs.sparkSession, sketch.count()
+    by_doc, by_band = tasks_for(spark, n), tasks_for(spark, BANDS * n)
     known = sketch.where("doc_id is not null and n_shingles > 0")
     copies = stage(
         known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"),
         "copies",
+        by_doc,
     )
     bands = F.when(F.expr("first is null or first = doc_id"), F.col("bands"))
-    members = stage(known.join(_grows(copies), "digest", "left").select("doc_id", "n_shingles", F.explode(bands).alias("band")), "members")
+    members = stage(known.join(_grows(copies), "digest", "left").select("doc_id", "n_shingles", F.explode(bands).alias("band")), "members", by_band)
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last")
-    asked = stage(members.join(_grows(stage(buckets.select("band", "center"), "buckets")), "band").select("band", "center", "doc_id", "n_shingles"), "asked")
-    pairs = stage(asked.select("center", "doc_id", "n_shingles").distinct(), "pairs")
+    asked = stage(members.join(_grows(stage(buckets.select("band", "center"), "buckets", by_band)), "band").select("band", "center", "doc_id", "n_shingles"), "asked", by_band)
+    pairs = stage(asked.select("center", "doc_id", "n_shingles").distinct(), "pairs", by_band)
+    most = pairs.count()
+    compared = tasks_for(spark, most, TEXTS_PER_TASK)
     spread = stage(
         pairs.groupBy("center").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).select("center", _salts().alias("salts")),
         "spread",
+        by_doc,
     )
     sets = stage(
-        docs.join(_grows(pairs.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary"), "sets"
+        docs.join(_grows(pairs.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary"),
+        "sets",
+        tasks_for(spark, n, TEXTS_PER_TASK),
     )
     salted = pairs.join(_grows(spread), "center").select(
         "doc_id",
@@ -256,22 +271,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             )
         ).alias("salt"),
     )
-    first = _links(salted.select(F.struct("center", "salt").alias("block"), "doc_id", F.lit(True).alias("is_query")), sets, percent)
+    first = _links(salted.select(F.struct("center", "salt").alias("block"), "doc_id", F.lit(True).alias("is_query")), sets, percent, compared)
     wide = spread.where("salts > 1").select("center")
-    links = first if wide.isEmpty() else _across_blocks(asked, wide, first, sets, percent)
+    links = first if wide.isEmpty() else _across_blocks(asked, wide, first, sets, percent, most)
     # Every row again with the class of its set; the classes of an id's rows hang together by that id.
     located = stage(
         sketch.select("doc_id", "n_shingles", "digest").join(_grows(copies), "digest", "left").select(
             "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first")
         ),
         "located",
+        by_doc,
     )
     several = located.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("doc_id")
     tied = located.join(_grows(several), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    joined = stage(components(links.unionByName(tied)), "components")
+    joined = stage(components(links.unionByName(tied), most + n), "components", by_doc)
     final = located.join(_grows(joined), F.col("first") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first"))
-    return final.select(
+    return final.coalesce(by_doc).select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 

@@ -18,6 +18,8 @@ from .sources import hadoop
 
 # Regex work costs much time per byte, so a task should be able to read a small piece.
 ROW_GROUP_BYTES = 16 * 1024 * 1024
+# Rows of a few numbers that a task may well take: a file for fewer costs more than its rows.
+ROWS_PER_TASK = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +54,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             hadoop.delete(spark, path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and return a frame that reads it back."""
+def tasks_for(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK) -> int:
+    """How many tasks are enough for a table of at most `rows` rows: two per core, and more as the rows grow."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_task))
+
+
+def stage(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and return a frame that reads it back.
+
+    With `tasks`, shuffle partitions in excess of that number are written together.
+    """
     spark = df.sparkSession
+    if tasks:
+        df = df.coalesce(tasks)
     path = new_path(spark, name)
     owned = _OWNED.get()
     if owned is not None:

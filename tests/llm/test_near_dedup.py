@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from linewright.llm import near_dedup
 from linewright.llm.components import components
 from linewright.llm.fingerprints import shingle_set, word_hashes
 from linewright.llm.near_dedup import near_duplicates, shared_counts
+from linewright.staging import stage, tasks_for
 
 
 def brute(rows, width, percent=80):
@@ -109,3 +111,21 @@ def test_texts_that_share_an_id_are_all_compared():
         batch = pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "is_query", "shingles"])
         found = {(x["a"], x["b"]) for out in near_dedup._compare(80)(iter([batch])) for x in out.to_pylist()}
         assert found == {(5, 1), (9, 5), (12, 5)}
+
+
+def test_few_links_are_written_by_few_tasks_and_stars_end_at_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sys.modules["linewright.llm.components"], "stage", lambda df, name, *tasks: (frame := stage(df, name, *tasks), written.append((name, len(frame.inputFiles()))))[0])
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.createDataFrame([(a, a - a % 50) for a in range(1000)], "a bigint, b bigint")
+        found = {r["node"]: r["component"] for r in components(links, 1000).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {a: a - a % 50 for a in range(1000)}
+    assert [n for n, _ in written] == ["links", "least", "star"]
+    assert max(n for _, n in written) <= tasks_for(spark, 1000)
