@@ -126,15 +126,15 @@ def write_line_set(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_label_file(labels: DataFrame, path: str) -> None:
-    """Write (index, position, expected_group_id, expected_template) as one label document, in order; the folder `path` holds its one file."""
+    """Write (index, position, expected_group_id, expected_template) as one label document, in order; the folder `path` holds its parts."""
     spark = labels.sparkSession
     item = F.to_json(F.struct(F.col("index").alias("line_index"), "expected_group_id", "expected_template"))
     rows = labels.select(F.lit(1).alias("place"), "index", "position", F.concat(F.lit(", "), item).alias("value"))
     # A first label that no line has, so that all others follow a comma.
     ends = [(0, 0, 0, '{"name": "events", "records": [{"line_index": 0}'), (2, 0, 0, "]}")]
     whole = rows.unionByName(spark.createDataFrame(ends, "place int, index bigint, position int, value string"))
-    # One document is one file, so one task writes it.
-    whole.repartition(1).sortWithinPartitions("place", "index", "position").select("value").write.text(path)
+    order = ["place", "index", "position"]
+    whole.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
 
 
 def tree_labels(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:

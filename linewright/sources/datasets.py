@@ -34,7 +34,7 @@ def load_labelled(
 ) -> LabelledLines:
     """Load a labelled set; `auto` looks at which files exist.
 
-    Label files are single JSON documents, parsed in parallel (see label_json). Labels
+    Label files are single JSON documents, whole or in parts, parsed in parallel (see label_json). Labels
     can be passed as a frame with the same columns instead.
     """
     mode = resolve_mode(spark, path, mode)

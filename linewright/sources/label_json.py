@@ -1,6 +1,6 @@
 """Label documents of any size: one JSON object whose `records` array is cut into its objects and parsed in parallel.
 
-The file is read as pieces that end with a closing brace, in file splits. What a brace means depends on all that stands before it,
+The file, or a folder of files that hold a document's lines in order of their names, is read as pieces that end with a closing brace, in file splits. What a brace means depends on all that stands before it,
 but only through sums: the parity of the quotes so far tells strings from structure, and the open braces and brackets so far
 tell where an object of the array ends. These sums are taken in two levels, over pieces in buckets and over buckets.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.numbering import physical_line_numbers
+from ..operators.numbering import index_in_place
 from ..staging import stage
 
 _BUCKET_BITS = 12
@@ -37,17 +37,20 @@ def _count(text: Column, sign: str) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(number, value, size): the text before each closing brace and after the last one, in order, and the file's size."""
+    """(number, value, braced): the text before each closing brace and after a file's last one, in order, and whether a brace follows."""
     read = spark.read.option("lineSep", "}").text(path)
-    staged = read.select(
+    pieces = read.select(
         F.col("_metadata.file_path").alias("uri"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("pos"),
         "value",
         F.col("_metadata.file_size").alias("size"),
     )
-    numbered, _ = physical_line_numbers(stage(staged, "pieces"))
-    return numbered.select(F.col("line_number").alias("number"), "value", "size")
+    numbered = index_in_place(pieces, ["uri", "block_start"], F.min("block_start"), [F.split("uri", "/"), F.col("first")], "number")
+    # The last piece of a file has a brace behind it only if the file ends with one; a byte order mark is not counted.
+    of_file = numbered.groupBy("uri").agg(F.max("number").alias("number"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
+    bare = of_file.where(~F.expr("bytes in (size, size - 3)")).select("number", F.lit(False).alias("braced"))
+    # A row per file at most.
+    return numbered.select("number", "value").join(F.broadcast(bare), "number", "left").select("number", "value", F.coalesce("braced", F.lit(True)).alias("braced"))
 
 
 def _units(spark: SparkSession, path: str) -> DataFrame:
@@ -56,12 +59,9 @@ def _units(spark: SparkSession, path: str) -> DataFrame:
     `opens` and `ends` are the brackets open before and after, `depth` the braces open after.
     """
     pieces = _pieces(spark, path)
-    size = pieces.agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size")).first()
-    if not size["n"]:
+    if pieces.isEmpty():
         raise ValueError(f"[MALFORMED_LABELS] {path} is empty")
-    # The last piece has a brace behind it only if the file ends with one; a byte order mark is not counted.
-    whole = size["bytes"] in (size["size"], size["size"] - 3)
-    braced = F.lit(True) if whole else F.col("number") < size["n"]
+    braced = F.col("braced")
     bare = F.regexp_replace("value", _ESCAPED, "")
     quoted = stage(_with_sums(pieces, quotes=_count(bare, '"')), "quoted")
     inside = F.col("quotes") % 2 == 1

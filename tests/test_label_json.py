@@ -6,6 +6,7 @@ import random
 import pytest
 
 from linewright.sources import label_json
+from linewright.sources.corpus import write_label_file
 from linewright.sources.label_json import read_label_document
 
 RECORD = "line_index string, expected_group_id string, expected_template string"
@@ -68,3 +69,33 @@ def test_small_documents(spark, tmp_path, text):
 def test_malformed_documents(spark, tmp_path, text):
     with pytest.raises(Exception, match=r"(?i)json|malformed|empty|records|parse"):
         read(spark, tmp_path, text)
+
+
+def test_document_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(label_json, "_BUCKET_BITS", 3)
+    text = document(4, 80, indent=1)
+    lines = text.splitlines(keepends=True)
+    (tmp_path / "parts").mkdir()
+    for i in range(0, len(lines), 7):
+        (tmp_path / "parts" / f"part-{i:05d}.txt").write_text("".join(lines[i : i + 7]))
+    name, records = read_label_document(spark, str(tmp_path / "parts"), RECORD)
+    assert (name, [tuple(r)[1:] for r in sorted(records.collect())]) == expected(text)
+
+
+def test_a_document_is_written_in_parts_by_several_tasks(spark, tmp_path):
+    rows = [(i, p, f"g{i}#{p}", f'a "{i}" }} {{') for i in range(400) for p in range(1 + (i % 5 == 0))]
+    labels = spark.createDataFrame(rows, "index bigint, position int, expected_group_id string, expected_template string")
+    path = str(tmp_path / "labels.json")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_label_file(labels.repartition(3), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = sorted((tmp_path / "labels.json").glob("part-*"))
+    assert len(parts) > 1
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert [r["line_index"] for r in document["records"]] == [0] + [r[0] for r in rows]
+    name, records = read_label_document(spark, path, RECORD)
+    found = [tuple(r)[1:] for r in sorted(records.collect())]
+    assert name == "events" and found[1:] == [(str(i), g, t) for i, _, g, t in rows]
