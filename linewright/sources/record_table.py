@@ -113,20 +113,24 @@ class RecordTable:
                 return self._parts({part: key}).count()
 
     def _without(self, base: Version, ids: DataFrame, scope: Column | None) -> dict[str, str | None]:
-        """The parts of a version with the given ids taken out; all parts that hold one are written again by one job."""
+        """The parts of a version with the given ids taken out; all parts that hold one, and other rows, are written again by one job."""
         if not base.parts:
             return {}
         keys = {name[-_KEY:]: name for name in base.parts}
         stored = self._parts(base.parts).withColumn("_part", _part_key())
         candidates = stored if scope is None else stored.where(scope)
         met = stage(candidates.select("id", "_part").join(ids, "id", "left_semi"), "met")
-        touched = {keys[r["_part"]] for r in met.select("_part").distinct().collect()}  # a row per load at most
-        parts = {name: load for name, load in base.parts.items() if name not in touched}
+        replaced = {keys[r["_part"]]: r["count"] for r in met.groupBy("_part").count().collect()}  # a row per load at most
+        parts = {name: load for name, load in base.parts.items() if name not in replaced}
+        held = self._parts(dict.fromkeys(replaced)).groupBy(_part_key().alias("_part")).count().collect() if replaced else []
+        # Of a part whose rows are all replaced nothing is left to write.
+        touched = [name for name, rows in ((keys[r["_part"]], r["count"]) for r in held) if rows > replaced[name]]
         if touched:
             rest = self._parts(dict.fromkeys(touched)).withColumn("_part", _part_key()).join(met, ["id", "_part"], "left_anti")
             again = uuid.uuid4().hex
-            # Tasks get rows by part, large parts in several shares.
-            rest.hint("rebalance", "_part").withColumnRenamed("_part", _REPLACES).write.partitionBy(_REPLACES).parquet(f"{self.path}/parts/{again}")
+            # Tasks get rows by part, large parts in several shares; rows of one part are dealt by their ids already.
+            dealt = rest if len(touched) == 1 else rest.hint("rebalance", "_part")
+            dealt.withColumnRenamed("_part", _REPLACES).write.partitionBy(_REPLACES).parquet(f"{self.path}/parts/{again}")
             for folder in hadoop.children(self.spark, f"{self.path}/parts/{again}"):
                 if folder.startswith(f"{_REPLACES}="):
                     parts[f"{again}/{folder}"] = base.parts[keys[folder[-_KEY:]]]

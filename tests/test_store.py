@@ -264,3 +264,16 @@ def test_streams_report_hidden_names(spark, tmp_path):
         ingest_arrivals(spark, root, str(tmp_path / "t"), str(tmp_path / "c"), "j")
     ingest_arrivals(spark, root, str(tmp_path / "t"), str(tmp_path / "c"), "j", on_hidden="skip").awaitTermination()
     assert RecordTable(spark, str(tmp_path / "t")).read().count() == 2
+
+
+def test_parts_replaced_as_a_whole_are_not_read_for_what_is_left(spark, table, monkeypatch):
+    table.upsert(frame(spark, *[record(id=i) for i in "abc"]))
+    table.upsert(frame(spark, *[record(id=i) for i in "def"]))
+    folders = lambda: sorted(p.name for p in Path(table.path, "parts").iterdir())
+    before = folders()
+    table.upsert(frame(spark, *[record(id=i, raw_text="new") for i in "abcdef"]))
+    assert len(folders()) == len(before) + 1 and len(table.current().parts) == 1
+    table.upsert(frame(spark, record(id="b", raw_text="newer")))
+    # One part is left in place of the replaced one, besides the new one.
+    assert len(table.current().parts) == 2
+    assert sorted((r["id"], r["raw_text"]) for r in table.read().collect()) == [(i, "newer" if i == "b" else "new") for i in "abcdef"]
