@@ -20,7 +20,8 @@ from ..staging import stage
 from .tokens import summed, text_chunks, token_ids
 
 BUCKETS = 1 << 15
-INPUTS = 4096
+# The edge of a text, and every bucket.
+INPUTS = BUCKETS + 1
 CLASSES = 48
 DIMS = 16
 HIDDEN = 24
@@ -86,8 +87,8 @@ class Vocabulary:
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(BUCKETS, np.int64)
         rank[order] = np.arange(BUCKETS)
-        # Input 0 is the edge of a text, the last one stands for all rarer buckets.
-        self.inputs = np.minimum(rank + 1, INPUTS - 1).astype(np.int32)
+        # Input 0 is the edge of a text; frequent buckets stand together.
+        self.inputs = (rank + 1).astype(np.int32)
         # The most frequent tokens are classes of their own; the others share classes of about equal mass.
         own = CLASSES - 16
         smooth = counts[order] + 0.5
@@ -215,9 +216,10 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE)
         mixed = summed(tokens, len(values) + 1, trained(values, vocabulary, stride), "ids", token_groups)
         if mixed[-1]:
             values = (mixed[:-1] / mixed[-1]).astype(np.float32)
-    scorer = Scorer(shaped(values), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The tables are six times as large as the parameters that they are made of.
+        scorer = Scorer(shaped(values), vocabulary)
         for batch in batches:
             pairs = [scorer.score(group) for group in token_groups(batch["ids"].to_pylist())]
             n = np.concatenate([a for a, _ in pairs]) if pairs else np.zeros(0, np.int64)

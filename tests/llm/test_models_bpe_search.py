@@ -230,3 +230,10 @@ def test_digest_columns(spark, docs, library):
     encoded = bpe.encode(docs([(1, "some text", "s")])).select(F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("h"))
     ids = library.encode("some text", add_special_tokens=False).ids
     assert encoded.first()["h"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_every_bucket_has_an_input_of_its_own():
+    counts = np.bincount(np.random.default_rng(3).integers(0, lm_scoring.BUCKETS, 90_000), minlength=lm_scoring.BUCKETS).astype(float)
+    vocabulary = lm_scoring.Vocabulary(counts)
+    assert len(set(vocabulary.inputs.tolist())) == lm_scoring.BUCKETS and vocabulary.inputs.min() == 1
+    assert vocabulary.inputs.max() < len(lm_scoring.initial(vocabulary)["embed"])
